@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewater.llm.common import table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.decontaminate import decontamination_report
 
