@@ -15,6 +15,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.edit_embedding import edit_report
+
+    return edit_report(table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.decontaminate import decontamination_report
 
