@@ -10,7 +10,9 @@ length, however common, is ever in one task.
 
 from __future__ import annotations
 
+import json
 import math
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -18,16 +20,20 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tidewater.llm.common import small_batches, written
 
 SEQUENCE = 2048
 #: Ends each document.
 END_ID = 0
-#: Words whose ids a worker keeps; the words that come later are tokenized again each batch.
-KNOWN_WORDS = 400_000
+#: Words whose ids a worker keeps.
+KNOWN_WORDS = 1_000_000
+#: Code points of texts whose unknown words are tokenized at once, about.
+TOGETHER = 1_000_000
 #: Pieces in one bucket of the ranking, at least; more with the square root of all, so that buckets stay few too.
 BUCKET = 2_000
 
@@ -38,6 +44,13 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+# The byte-level pattern of the vocabulary's pre-tokenizer, and the same for texts
+# under U+0250, in which the letters, numerals and white space can be listed.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+LATIN = rf"""'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"""
+
+
 class WordIds:
     """Ids of texts by a byte-level BPE whose merges stay inside the words of its pattern.
 
@@ -46,11 +59,6 @@ class WordIds:
     """
 
     def __init__(self, vocabulary: str):
-        import json
-
-        import regex
-        from tokenizers import Tokenizer
-
         with open(vocabulary, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -58,27 +66,50 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
-        # The byte-level pattern of the vocabulary's pre-tokenizer.
-        self.words = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""").findall
+        self.any_words, self.latin_words = regex.compile(PATTERN).findall, re.compile(LATIN).findall
+        self.beyond_latin = re.compile("[^\x00-\u024f]").search
+        self.spaced = re.compile(rf" [^{_S}]+").fullmatch
+
+    def words(self, text: str) -> list[str]:
+        return self.any_words(text) if self.beyond_latin(text) else self.latin_words(text)
 
     def _tokenize(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _of_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of distinct words. Those with a space before them are tokenized as one text, as it splits into them again."""
+        spaced = [w for w in words if self.spaced(w)]
+        out = {}
+        if spaced and self.words(text := "".join(spaced)) == spaced:
+            e = self.tokenizer.encode(text, add_special_tokens=False)
+            ids, of = np.array(e.ids, dtype="<u4"), np.array(e.word_ids, dtype=np.int64)
+            if of[-1] == len(spaced) - 1:
+                raw, cuts = ids.tobytes(), (4 * np.searchsorted(of, np.arange(len(spaced) + 1))).tolist()
+                out = {w: raw[a:b] for w, a, b in zip(spaced, cuts, cuts[1:], strict=False)}
+        rest = [w for w in words if w not in out]
+        out.update(zip(rest, self._tokenize(rest), strict=True))
+        return out
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit bytes."""
         if not self.by_word:
             yield from self._tokenize(texts)
             return
-        for text in texts:
-            words = self.words(text)
-            ids = list(map(self.known.get, words))
-            if None in ids:
-                new = list({w for w, x in zip(words, ids, strict=True) if x is None})
-                fresh = dict(zip(new, self._tokenize(new), strict=True))
-                ids = [fresh[w] if x is None else x for w, x in zip(words, ids, strict=True)]
-                if len(self.known) + len(fresh) <= KNOWN_WORDS:
-                    self.known.update((w, x) for w, x in fresh.items() if len(w) <= 64)
-            yield b"".join(ids)
+        at, size = 0, 0
+        for k, text in enumerate(texts):
+            size += len(text)
+            if size >= TOGETHER or k + 1 == len(texts):
+                yield from self._encode([self.words(t) for t in texts[at : k + 1]])
+                at, size = k + 1, 0
+
+    def _encode(self, texts: list[list[str]]) -> list[bytes]:
+        known, needed = self.known, set().union(*texts)
+        new = list(needed.difference(known))
+        if len(known) + len(new) > KNOWN_WORDS:  # what these texts need stays
+            known = self.known = {w: known[w] for w in needed.intersection(known)}
+        if new:
+            known.update(self._of_words(new))
+        return [b"".join(map(known.__getitem__, words)) for words in texts]
 
 
 @cache
