@@ -1,4 +1,5 @@
 import random
+from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -28,10 +29,18 @@ def test_bag_labels_locate_the_sentence():
         if k % 5 == 0:
             rng.choice(bag).append(f"bad{rng.choice('xyz')}")
         bags.append((int(k % 5 == 0), [" ".join(sorted(set(s))).encode() for s in bag]))
-    model = T.fit(bags)
+    counts = defaultdict(lambda: [0, 0])
+    for label, bag in bags:
+        for f in {f for s in bag for w in s.split() for f in T.features(w)}:
+            counts[f][0] += 1
+            counts[f][1] += label
+    names = T.chosen_features([(f, *n) for f, n in counts.items()], len(bags), sum(x for x, _ in bags))
+    find = {f: k for k, f in enumerate(names)}.get
+    placed = [[T.bag_of(s.decode(), find) for s in bag] for _, bag in bags]
+    model = T.fit(names, [(label, bag.count([]), [s for s in bag if s]) for (label, _), bag in zip(bags, placed, strict=True)])
     score = model.scorer()
     assert [score.logits(t)[1][0] > 0 for t in ("w1 badx w2", "w1 w2", "bady", "w9 w8 w7")] == [True, False, True, False]
-    assert T.fit([]).bias < -20 and T.fit([(0, bags[0][1])]).bias < -20
+    assert T.fit([], []).bias < -20 and T.fit([], [(0, 3, [])]).bias < -20
 
 
 def test_held_out_accuracy(spark):

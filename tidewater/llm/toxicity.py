@@ -12,7 +12,9 @@ doc_id, and no more than ``FEATURES`` features; scoring takes every whole text.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import small_batches
+from tidewater.llm.common import small_batches, written
 from tidewater.llm.decontaminate import words_of
 
 #: Labelled rows that the fit reads, at most.
@@ -32,6 +34,8 @@ FEATURES = 4096
 PREFIXES = (3, 4, 5, 6, 7)
 #: Sample documents that a feature must stand in to get a weight.
 LEAST_DOCS = 4
+#: The least z score of a feature.
+LEAST_Z = 3.0
 #: One in this many ids is held out.
 FOLDS = 5
 STEPS = 300
@@ -108,68 +112,43 @@ def noisy_or(logits: np.ndarray) -> float:
     return float(-np.expm1(-np.logaddexp(0, logits).sum()))
 
 
-def fit(bags: list[tuple[int, list[bytes]]]) -> Model:
-    """Fit bags of (label, sentences as distinct words joined by a space).
+def chosen_features(counts: list[tuple[bytes, int, int]], n_docs: int, n_toxic: int) -> list[bytes]:
+    """The features (feature, documents, toxic documents) that tell most, by their z score."""
+    rate = n_toxic / n_docs if n_docs else 0
+    if not 0 < rate < 1:
+        return []
+    scored = [(abs(pos - both * rate) / math.sqrt(both * rate * (1 - rate)), f) for f, both, pos in counts if both >= LEAST_DOCS]
+    return [f for z, f in sorted(scored, key=lambda x: (-x[0], x[1]))[:FEATURES] if z > LEAST_Z]
+
+
+def fit(names: list[bytes], bags: list[tuple[int, int, list[list[int]]]]) -> Model:
+    """Fit bags of (label, sentences without features, features of each other sentence, by place in names).
 
     Bags of no or only one label give a constant.
     """
-    y = np.array([label for label, _ in bags], dtype=np.float64)
+    y = np.array([label for label, _, _ in bags], dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return Model({}, 5.0 if len(y) and y[0] else -30.0)
-    vocab: dict[bytes, int] = {}
-    doc, size, word = [], [], []
-    for k, (_, bag) in enumerate(bags):
-        for s in bag:
-            ids = [vocab.setdefault(w, len(vocab)) for w in s.split()]
-            doc.append(k)
-            size.append(len(ids))
-            word.append(np.array(ids, dtype=np.int32))
-    doc, sent, word, n = np.array(doc), np.repeat(np.arange(len(size)), size), np.concatenate(word), len(size)
-    names: dict[bytes, int] = {}
-    of = [[names.setdefault(f, len(names)) for f in features(w)] for w in vocab]
-    # documents of either label in which each feature stands
-    inside = np.unique(doc[sent] * len(vocab) + word)
-    d, w = inside // len(vocab), inside % len(vocab)
-    each = np.array([len(x) for x in of])
-    flat, first = np.concatenate([np.array(x, dtype=np.int64) for x in of]), np.cumsum(each) - each
-
-    def spread(of_word, ids):
-        """The rows of ids, one for each feature of their words, and these features."""
-        row = np.repeat(ids, each[of_word])
-        start = np.repeat(first[of_word] - (np.cumsum(each[of_word]) - each[of_word]), each[of_word])
-        return row, flat[start + np.arange(len(row))]
-
-    d, f = spread(w, d)
-    inside = np.unique(d * len(names) + f)
-    d, f = inside // len(names), inside % len(names)
-    pos, both = np.bincount(f, y[d], len(names)), np.bincount(f, minlength=len(names))
-    rate = y.mean()
-    score = np.abs(pos - both * rate) / np.sqrt(both * rate * (1 - rate))
-    score[both < LEAST_DOCS] = 0
-    keep = np.argsort(-score, kind="stable")[:FEATURES]
-    keep = keep[score[keep] > 3]
-    place = np.full(len(names), -1)
-    place[keep] = np.arange(len(keep))
-    useful = np.array([any(place[x] >= 0 for x in fs) for fs in of])
-    on = useful[word]
-    sent, word = spread(word[on], sent[on])
-    on = place[word] >= 0
-    sent, word = sent[on], place[word[on]]
-    weights, bias = np.zeros(len(keep)), -4.0
-    mean = [np.zeros(len(keep) + 1) for _ in range(2)]
+    plain = np.array([n for _, n, _ in bags], dtype=np.float64)
+    doc = np.array([k for k, (_, _, bag) in enumerate(bags) for _ in bag], dtype=np.int64)
+    size = [len(s) for _, _, bag in bags for s in bag]
+    word = np.array([x for _, _, bag in bags for s in bag for x in s], dtype=np.int64)
+    n = len(size)
+    sent = np.repeat(np.arange(n), size)
+    weights, bias = np.zeros(len(names)), -4.0
+    mean = [np.zeros(len(names) + 1) for _ in range(2)]
     for t in range(1, STEPS + 1):
         z = bias + np.bincount(sent, weights[word], n)
         p = 1 / (1 + np.exp(-z))
-        total = np.bincount(doc, np.logaddexp(0, z), len(y))
+        total = np.bincount(doc, np.logaddexp(0, z), len(y)) + plain * np.logaddexp(0, bias)
         pull = np.where(y > 0, -1 / np.expm1(np.clip(total, 1e-9, 700)), 1.0)
         g = p * pull[doc] / len(y)
-        grad = np.append(np.bincount(word, g[sent], len(keep)) + RIDGE * weights, g.sum())
+        grad = np.append(np.bincount(word, g[sent], len(names)) + RIDGE * weights, g.sum() + (plain * pull).sum() / len(y) / (1 + np.exp(-bias)))
         mean[0] = 0.9 * mean[0] + 0.1 * grad
         mean[1] = 0.99 * mean[1] + 0.01 * grad**2
         step = RATE * (mean[0] / (1 - 0.9**t)) / (np.sqrt(mean[1] / (1 - 0.99**t)) + 1e-8)
         weights, bias = weights - step[:-1], bias - step[-1]
-    names = list(names)
-    return Model({names[k]: float(x) for k, x in zip(keep, weights, strict=True)}, float(bias))
+    return Model({f: float(x) for f, x in zip(names, weights, strict=True)}, float(bias))
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -178,19 +157,52 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     A doc_id with several labels counts as toxic if one says so; null labels
     and ids are left out; of repeated documents one is read.
     """
-    small_batches(documents.sparkSession)
+    spark = documents.sparkSession
+    small_batches(spark)
     rows = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where(~held_out(F.col("doc_id")) & F.col("label").isNotNull() & F.col("doc_id").isNotNull())
     chosen = rows.groupBy("doc_id").agg((F.max("label") > 0).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # of bounded size: `sample` rows of two numbers
-    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "label")
+    texts = written(spark, texts, "toxicity-sample")
+    counts = texts.mapInArrow(_count_features, "feature binary, n bigint, n_toxic bigint").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
+    counts = written(spark, counts.where(F.col("n") >= LEAST_DOCS), "toxicity-features")
+    n, toxic = texts.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    rate = toxic / n if n else 0
+    z = F.abs(F.col("n_toxic") - F.col("n") * rate) / F.sqrt(F.col("n") * max(rate * (1 - rate), 1e-9))
+    # the most telling ones, a fixed number of rows
+    most = counts.where(z > LEAST_Z).orderBy(z.desc(), "feature").limit(2 * FEATURES).collect()
+    names = chosen_features([(bytes(r["feature"]), r["n"], r["n_toxic"]) for r in most], n, toxic)
+    place = spark.sparkContext.broadcast({f: k for k, f in enumerate(names)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = place.value.get
         for b in batches:
-            out = [b"\n".join(b" ".join(sorted(set(words_of((t or "")[x:y])))) for x, y in sentences(t)) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.binary())], names=["label", "bag"])
-
-    bags = [(r["label"], bytes(r["bag"]).split(b"\n")) for r in texts.select("text", "label").mapInArrow(run, "label int, bag binary").toLocalIterator()]
-    return fit(bags)
+            plain, out = [], []
+            for text in b.column(0).to_pylist():
+                bag = [bag_of(text[x:y], find) for x, y in sentences(text)] if text else [[]]
+                plain.append(bag.count([]))
+                out.append([s for s in bag if s])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(plain, pa.int64()), pa.array(out, pa.list_(pa.list_(pa.int32())))], names=["label", "plain", "bag"])
+
+    # rows of the sample, with the few words that have a feature
+    return fit(names, [tuple(r) for r in texts.mapInArrow(run, "label int, plain bigint, bag array<array<int>>").toLocalIterator()])
+
+
+def bag_of(sentence: str, find) -> list[int]:
+    """Places of the features of the sentence's distinct words, as often as words have them."""
+    return [k for w in sorted(set(words_of(sentence))) for f in features(w) if (k := find(f)) is not None]
+
+
+def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents, and toxic ones, in which a feature stands; summed over each batch."""
+    for b in batches:
+        both, pos = Counter(), Counter()
+        for text, label in zip(*(b.column(k).to_pylist() for k in (0, 1)), strict=True):
+            found = {f for w in set(words_of(text)) for f in features(w)}
+            both.update(found)
+            if label:
+                pos.update(found)
+        yield pa.RecordBatch.from_arrays([pa.array(list(both), pa.binary()), pa.array(list(both.values()), pa.int64()), pa.array([pos[f] for f in both], pa.int64())], names=["feature", "n", "n_toxic"])
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
