@@ -163,7 +163,7 @@ def plan(counts: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[int, in
     out, fresh = [], 0
 
     def put(left: int, first: int, n: int) -> None:
-        if left:
+        if left and n:
             if left not in room:
                 room[left] = []
                 insort(free, left)
@@ -179,27 +179,24 @@ def plan(counts: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[int, in
                 if not room[have]:
                     del room[have]
                     free.pop(at)
-                take = min(n, todo)
-                if take < n:
-                    put(have, first + take, n - take)
-                put(have - size, first, take)
-                out.append((size, rank, take, first, sequence - have))
-                rank, todo = rank + take, todo - take
             else:
-                # new sequences, each filled with as many pieces of this length as it holds
-                each = sequence // size
-                full, more = divmod(todo, each)
-                for k in range(each if full else 0):
-                    out.append((size, rank, full, fresh, k * size))
-                    rank += full
-                for k in range(more):
-                    out.append((size, rank, 1, fresh + full, k * size))
-                    rank += 1
-                if full:
-                    put(sequence - each * size, fresh, full)
-                if more:
-                    put(sequence - more * size, fresh + full, 1)
-                fresh, todo = fresh + full + (more > 0), 0
+                have, first, n = sequence, fresh, -(-todo // (sequence // size))
+                fresh += n
+            # a sequence that took a piece is the fullest, and so takes as many as it holds
+            each = have // size
+            full, more = divmod(min(todo, n * each), each)
+            for k in range(each if full else 0):
+                out.append((size, rank, full, first, sequence - have + k * size))
+                rank += full
+            for k in range(more):
+                out.append((size, rank, 1, first + full, sequence - have + k * size))
+                rank += 1
+            put(have - each * size, first, full)
+            if more:
+                put(have - more * size, first + full, 1)
+            used = full + (more > 0)
+            put(have, first + used, n - used)
+            todo = counts[size] - rank
     return out
 
 
