@@ -1,0 +1 @@
+"""Streams: none; every source and operator here is bounded."""
