@@ -21,6 +21,12 @@ def op2_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_report(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.licenses import license_report
+
+    return license_report(table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.decontaminate import decontamination_report
 
