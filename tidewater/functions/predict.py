@@ -111,14 +111,14 @@ def read_model(spark: SparkSession, path: str, activation: str | None = None) ->
 
 
 def scorer(spark: SparkSession, path: str, activation: str | None = None):
-    """A vectorised function of a features column; null for a null vector or element."""
+    """A vectorised function of a features column without null elements, which Arrow gives as NaN."""
     shared = spark.sparkContext.broadcast(read_model(spark, path, activation))
 
     @F.pandas_udf("array<float>")
     def predict(features: pd.Series) -> pd.Series:
         model = shared.value
         width = model.layers[0][0].shape[1]
-        good = [k for k, x in enumerate(features) if x is not None and not any(v is None for v in x) and not pd.isna(np.asarray(x, dtype=object)).all()]
+        good = [k for k, x in enumerate(features) if x is not None]
         out = pd.Series([None] * len(features), dtype=object)
         if good:
             rows = [np.asarray(features.iloc[k], dtype=np.float32) for k in good]
@@ -132,4 +132,5 @@ def scorer(spark: SparkSession, path: str, activation: str | None = None):
 
 
 def predict(spark: SparkSession, path: str, features: Column, activation: str | None = None) -> Column:
-    return scorer(spark, path, activation)(features)
+    """The model's outputs; null for a null vector or element."""
+    return F.when(~F.exists(features, lambda x: x.isNull()), scorer(spark, path, activation)(features))
