@@ -125,14 +125,15 @@ def drop_lines(documents: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     where lines went.
     """
     names = documents.columns
-    rows = _with_lines(documents, keep_bitmaps(documents, least_docs, keep_first=True), [F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")])
-    rows = rows.withColumn("_text", F.when(F.col("_dropped").isNull(), F.col("_row")["text"]).otherwise(_kept_text()))
+    # the text travels once, as its lines
+    rest = F.struct(F.col("text").isNull().alias("_null"), *[F.col(f"`{c}`") for c in names if c != "text"]).alias("_row")
+    rows = _with_lines(documents, keep_bitmaps(documents, least_docs, keep_first=True), [rest])
+    text = F.when(F.col("_dropped").isNull(), F.array_join("_lines", "\n")).otherwise(_kept_text())
+    rows = rows.withColumn("_text", F.when(~F.col("_row")["_null"], text))
     out = []
     for c in names:
-        col = F.col("_row").getField(c)
-        if c == "text":
-            col = F.col("_text")
-        elif c == "n_chars":
+        col = F.col("_text") if c == "text" else F.col("_row").getField(c)
+        if c == "n_chars":
             col = F.when(F.col("_dropped").isNull(), col).otherwise(F.char_length("_text").cast(documents.schema[c].dataType))
         out.append(col.alias(c))
     return rows.select(*out)

@@ -28,6 +28,8 @@ RADIUS = 3
 #: Words in a shingle.
 SHINGLE = 3
 SEED = 42
+#: Ids of documents that go, to be broadcast at most (8 bytes each); above that the texts are shuffled.
+BROADCAST_IDS = 2_000_000
 #: Most fingerprints in one BK-tree.
 SHARD = 2048
 
@@ -262,14 +264,18 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
 def one_of_each(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of ``documents`` that stay, with their columns: one of each component.
 
-    The smallest doc_id stays, of its repeated rows one; rows with a null
-    doc_id stay only where no other of the component has one.
+    The smallest doc_id stays, of its repeated rows one; a row with a null
+    doc_id stays only where no other of its component has one.
     """
-    ids = near_duplicates(documents, radius)
-    keep = ids.groupBy("component_id").agg(F.min("doc_id").alias("kept_id")).select("kept_id")
-    names = documents.columns
-    rows = documents.dropDuplicates(["doc_id"])
-    return rows.join(keep, rows["doc_id"].eqNullSafe(keep["kept_id"]), "left_semi").select(*[F.col(f"`{c}`") for c in names])
+    spark = documents.sparkSession
+    ids = written(spark, near_duplicates(documents, radius), "simhash-ids")
+    kept = ids.select(F.col("component_id").alias("kept_id")).distinct()
+    gone = ids.select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = written(spark, gone.join(kept, F.col("gone_id").eqNullSafe(F.col("kept_id")), "left_anti"), "simhash-gone")
+    again = ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    rows = documents if again.isEmpty() else documents.dropDuplicates(["doc_id"])
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return rows.join(few, rows["doc_id"].eqNullSafe(few["gone_id"]), "left_anti")
 
 
 def brute_near_duplicates(docs: list[tuple], radius: int = RADIUS) -> list[dict]:
