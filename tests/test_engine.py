@@ -5,6 +5,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +126,20 @@ def test_pruning_leaves_few_rows(s, tmp_path):
     assert read.where("k = 42").count() == 2000
 
 
+def test_nan_rows_stay_without_pruning(spark, tmp_path):
+    pq.write_table(pa.table({"v": [1.0, 2.0, float("nan")]}), f"{tmp_path}/n.parquet")
+    s = Session(spark, SessionOptions(pruning=False))
+    s.register_parquet("n", f"{tmp_path}/n.parquet")
+    assert s.collect("SELECT count(*) AS n FROM n WHERE v > 100.0")["n"].to_pylist() == [1]
+
+
+def test_dashboard(s):
+    s.register_arrow("d", pa.table({"k": [1, 2, 2], "v": [1.0, 2.0, 3.0]}))
+    d = s.dashboard("SELECT k, sum(v) AS s FROM d GROUP BY k", ["d"])
+    assert [n.tag for n in d.plan if n.tag] == ["VectorAggregate: group_by=[k], aggr=[SUM(v)]"]
+    assert d.counters and [p.max for p in d.profiles["d"]] == ["2", "3.0"]
+
+
 def test_ipc(s, tmp_path):
     path = f"{tmp_path}/t.arrow"
     assert ipc.write_ipc(s.spark.range(10).selectExpr("id", "cast(id as string) t"), path) == 10

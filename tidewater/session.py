@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import time
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -34,15 +35,30 @@ _INHERITED = ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThresh
 
 @dataclass
 class SessionOptions:
-    """``batch_size`` is the rows of a columnar batch; it never changes results."""
+    """``batch_size`` is the rows of a columnar batch; it never changes results.
+
+    Without ``pruning`` no filter reaches the Parquet scan: slower, but files whose
+    statistics leave NaN out then keep the NaN rows that a filter matches.
+    """
 
     batch_size: int | None = None
+    pruning: bool = True
 
     def check(self) -> None:
         if self.batch_size is not None and self.batch_size <= 0:
             raise EngineError("plan", "batch size must be over 0")
 
 
+@dataclass
+class Dashboard:
+    """What one query did."""
+
+    title: str
+    plan: list[report.Node]
+    counters: list[report.Counter]
+    profiles: dict[str, list[ColumnProfile]]
+
+
 class Session:
     """Queries over registered tables, on any Spark master."""
 
@@ -56,6 +72,8 @@ class Session:
         for k in _INHERITED:
             if (v := spark.conf.get(k, None)) is not None:
                 self.spark.conf.set(k, v)
+        if not options.pruning:
+            self.spark.conf.set("spark.sql.parquet.filterPushdown", "false")
         if options.batch_size:
             self.spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(options.batch_size))
             self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(options.batch_size))
@@ -154,6 +172,11 @@ class Session:
     def profile(self, table: str) -> list[ColumnProfile]:
         return profile_frame(self.table(table).df)
 
+    def dashboard(self, query: str, tables: Sequence[str] = ()) -> Dashboard:
+        """Run a query and give its plan's tags, each operator's counters and profiles of tables."""
+        df = self.sql(query)
+        return Dashboard(query, report.nodes(df), report.counters(df), {t: self.profile(t) for t in tables})
+
     @staticmethod
     def _try(run):
         try:
