@@ -55,11 +55,3 @@ def ascii_lower(col):
     """Lower-case A-Z only, leaving every other character (native)."""
     plain = F.octet_length(col) == F.char_length(col)
     return F.when(plain, F.lower(col)).otherwise(F.translate(col, ASCII_UPPER, ASCII_LOWER))
-
-
-def text_key(col):
-    """128 bits that stand for a text; equal texts have equal keys, null has its own (native)."""
-    return F.struct(
-        F.xxhash64(col).alias("a"),
-        F.xxhash64(F.lit("tidewater"), col).alias("b"),
-    )
