@@ -31,7 +31,7 @@ SEQUENCE = 2048
 #: Ends each document.
 END_ID = 0
 #: Words whose ids a worker keeps.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 300_000
 #: Code points of texts whose unknown words are tokenized at once, about.
 TOGETHER = 1_000_000
 #: Pieces in one bucket of the ranking, at least; more with the square root of all, so that buckets stay few too.
