@@ -31,7 +31,7 @@ SEQUENCE = 2048
 #: Ends each document.
 END_ID = 0
 #: Words whose ids a worker keeps.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 1_000_000
 #: Code points of texts whose unknown words are tokenized at once, about.
 TOGETHER = 1_000_000
 #: Pieces in one bucket of the ranking, at least; more with the square root of all, so that buckets stay few too.
@@ -58,7 +58,8 @@ class WordIds:
     tokenized once and kept as little-endian bytes.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, known_words: int = KNOWN_WORDS):
+        self.known_words = known_words
         with open(vocabulary, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -105,7 +106,7 @@ class WordIds:
     def _encode(self, texts: list[list[str]]) -> list[bytes]:
         known, needed = self.known, set().union(*texts)
         new = list(needed.difference(known))
-        if len(known) + len(new) > KNOWN_WORDS:  # what these texts need stays
+        if len(known) + len(new) > self.known_words:  # what these texts need stays
             known = self.known = {w: known[w] for w in needed.intersection(known)}
         if new:
             known.update(self._of_words(new))
@@ -113,11 +114,11 @@ class WordIds:
 
 
 @cache
-def _word_ids(vocabulary: str) -> WordIds:
-    return WordIds(vocabulary)
+def _word_ids(vocabulary: str, known_words: int) -> WordIds:
+    return WordIds(vocabulary, known_words)
 
 
-def pieces(documents: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENCE) -> DataFrame:
+def pieces(documents: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENCE, known_words: int = KNOWN_WORDS) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of each piece; whole texts, no shuffle.
 
     A document's ids end with ``END_ID``. Only a document of more than
@@ -129,7 +130,7 @@ def pieces(documents: DataFrame, vocabulary: str | None = None, sequence: int =
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = _word_ids(vocabulary)
+        ids_of = _word_ids(vocabulary, known_words)
         for b in batches:
             rows, piece, start, length, crc = [], [], [], [], []
             for k, ids in enumerate(ids_of.encode([t or "" for t in b.column(1).to_pylist()])):
@@ -217,7 +218,7 @@ def _ranked(rows: DataFrame) -> DataFrame:
     return local.join(before, ["length", "bucket"]).withColumn("rank", F.col("local") + F.col("before")).drop("bucket", "local", "before")
 
 
-def pack(documents: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENCE) -> DataFrame:
+def pack(documents: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENCE, known_words: int = KNOWN_WORDS) -> DataFrame:
     """The pieces of all documents with sequence_id and offset.
 
     Sequences are gapless from 0 and hold at most ``sequence`` ids. An empty
@@ -225,7 +226,7 @@ def pack(documents: DataFrame, vocabulary: str | None = None, sequence: int = SE
     most ``sequence`` rows; what it broadcasts is the plan over these.
     """
     spark: SparkSession = documents.sparkSession
-    rows = written(spark, pieces(documents, vocabulary, sequence), "packing-pieces")
+    rows = written(spark, pieces(documents, vocabulary, sequence, known_words), "packing-pieces")
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs = sorted(plan(counts, sequence))
     cols = spark.sparkContext.broadcast(np.array(runs or [(0, 0, 0, 0, 0)], dtype=np.int64).T.copy())
