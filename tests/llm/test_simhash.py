@@ -87,6 +87,19 @@ def test_whole_query_equals_all_pairs(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({x["component_id"] for x in want})
 
 
+def test_one_of_each_goes_by_rows_not_by_ids(spark):
+    rng = random.Random(11)
+    say = lambda: " ".join(f"w{rng.randrange(400)}" for _ in range(80))
+    a, b, c, lone = say(), say(), say(), [say() for _ in range(20)]
+    # null ids of unrelated texts; one id with two texts, of which one belongs to another id's component
+    docs = [(None, t) for t in lone] + [(0, b), (3, a), (3, b), (7, c), (None, c), (7, c), (9, say()), (9, None), (None, "")]
+    df = spark.createDataFrame([(*d, "c") for d in docs], "doc_id long, text string, component_id string")
+    kept = S.one_of_each(df)
+    assert kept.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert got == sorted([(None, t) for t in lone] + [(0, b), (3, a), (7, c), (9, docs[-3][1]), (9, None)], key=str)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_duplicates(df).count() == 0

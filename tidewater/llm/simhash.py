@@ -28,7 +28,7 @@ RADIUS = 3
 #: Words in a shingle.
 SHINGLE = 3
 SEED = 42
-#: Ids of documents that go, to be broadcast at most (8 bytes each); above that the texts are shuffled.
+#: Keys of documents that go, to be broadcast at most (16 bytes each, with the text's hash); above that the texts are shuffled.
 BROADCAST_IDS = 2_000_000
 #: Most fingerprints in one BK-tree.
 SHARD = 2048
@@ -58,18 +58,19 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(up, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row; whole texts, no shuffle."""
+def fingerprints(documents: DataFrame, text_hash: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and, if wanted, text_hash of every row; whole texts, no shuffle."""
     small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            more = [b.column(2)] if text_hash else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *more], names=["doc_id", "fp", "text_hash"][: 2 + len(more)])
 
-    rows = documents.select("doc_id", "text")
+    rows = documents.select("doc_id", "text", *[F.xxhash64("text").alias("text_hash")] * text_hash)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return rows.mapInArrow(run, f"doc_id {kind}, fp bigint" + ", text_hash bigint" * text_hash)
 
 
 class BKTree:
@@ -254,28 +255,41 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     spark = documents.sparkSession
     docs = written(spark, fingerprints(documents), "simhash-docs")
     fps = written(spark, docs.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    roots = components(links(fps.select("fp"), radius), "simhash-stars")
-    rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(fps, radius)
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = written(spark, rooted.join(least, "root").select("fp", "component_id"), "simhash-named")
     return docs.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _rooted(fps: DataFrame, radius: int) -> DataFrame:
+    """fp, first_id and the component's root of distinct fingerprints."""
+    roots = components(links(fps.select("fp"), radius), "simhash-stars")
+    return fps.join(roots, fps.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+
+
 def one_of_each(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of ``documents`` that stay, with their columns: one of each component.
 
-    The smallest doc_id stays, of its repeated rows one; a row with a null
-    doc_id stays only where no other of its component has one.
+    A row is known by doc_id and a hash of its text. The row of the smallest
+    doc_id stays, null ids last, of one id that of the smallest hash, and of
+    rows alike in both one; ids that repeat in other components don't matter.
     """
     spark = documents.sparkSession
-    ids = written(spark, near_duplicates(documents, radius), "simhash-ids")
-    kept = ids.select(F.col("component_id").alias("kept_id")).distinct()
-    gone = ids.select(F.col("doc_id").alias("gone_id")).distinct()
-    gone = written(spark, gone.join(kept, F.col("gone_id").eqNullSafe(F.col("kept_id")), "left_anti"), "simhash-gone")
-    again = ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    rows = documents if again.isEmpty() else documents.dropDuplicates(["doc_id"])
+    docs = written(spark, fingerprints(documents, text_hash=True), "simhash-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash"))
+    fps = written(spark, docs.groupBy("fp").agg(first.alias("first_id")), "simhash-distinct")
+    kept = _rooted(fps, radius).groupBy("root").agg(F.min("first_id").alias("first"))
+    kept = written(spark, kept.select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash")), "simhash-kept")
+    counts = docs.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
+    is_kept = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash"))
+    gone = counts.join(kept, is_kept, "left_anti").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
+    gone = written(spark, gone, "simhash-gone")
     few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return rows.join(few, rows["doc_id"].eqNullSafe(few["gone_id"]), "left_anti")
+    rows = documents.join(few, documents["doc_id"].eqNullSafe(few["gone_id"]) & (F.xxhash64(documents["text"]) == few["gone_hash"]), "left_anti")
+    if counts.where("n > 1").join(kept, is_kept, "left_semi").isEmpty():
+        return rows
+    same = "simhash text"
+    return rows.withColumn(same, F.xxhash64("text")).dropDuplicates(["doc_id", same]).drop(same)
 
 
 def brute_near_duplicates(docs: list[tuple], radius: int = RADIUS) -> list[dict]:
