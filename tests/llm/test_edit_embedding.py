@@ -97,3 +97,36 @@ def test_near_documents(spark):
     got = {(r["doc_id"], r["near_id"], r["distance"]) for r in E.near_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got <= {(100 + k, k, 1) for k in range(20)} and len(got) >= 19
     assert np.all([d == 1 for *_, d in got])
+
+
+def test_near_documents_does_not_lose_pairs_with_the_size(spark, monkeypatch):
+    rng = random.Random(6)
+    say = lambda n: "".join(rng.choices("etaoin shrdlu", k=n))
+    docs = [(k, say(rng.randrange(1024, 2040))) for k in range(2500)]
+    planted = set()
+    for k in range(150):
+        t, of = list(docs[16 * k][1]), 16 * k
+        for _ in range(10):
+            t[rng.randrange(len(t))] = rng.choice(["", "x", "yz"])
+        docs.append((10_000 + k, "".join(t)))
+        planted.add((10_000 + k, of))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    got = {}
+    for block in (2048, 600):  # groups whole, and cut into blocks that meet
+        monkeypatch.setattr(E, "BLOCK", block)
+        got[block] = {(r["doc_id"], r["near_id"]) for r in E.near_documents(df).collect()}
+    assert got[600] == got[2048] <= planted
+    assert len(got[2048]) >= 0.96 * len(planted)
+
+
+def test_text_classes(spark):
+    docs = [(5, "a"), (3, "a"), (4, "b"), (9, None), (8, ""), (None, "a")]
+    got = {tuple(r) for r in E.text_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {(5, 3), (3, 3), (4, 4), (9, 8), (8, 8)}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abc", max_size=60), st.integers(0, 59), st.text("abc", max_size=4))
+def test_far_hides_no_near_pair(a, at, put):
+    b = a[:at] + put + a[at + len(put) // 2 :]
+    assert not E.far(a, b, _levenshtein(a, b))

@@ -35,6 +35,13 @@ CLASSES = 256
 PERIOD = 1 << 14
 #: Bits in a band, and bands, of the candidate search.
 BAND_BITS, BANDS = 16, 24
+#: Most rows of a band group that one task compares; larger groups are cut into blocks that meet two by two.
+BLOCK = 2048
+#: Scale from which pairs of a band go by their samples before their texts are compared, and the
+#: standard deviations by which these must agree more often than those of unrelated texts.
+FILTERED, CHANCE = 9, 3.0
+#: Characters in the n-grams that show texts to be far apart.
+GRAM = 6
 #: Code points of texts that are walked together, about.
 _TOGETHER = 2_000_000
 
@@ -320,36 +327,151 @@ def _along(a: str, b: str, i: int, j: int) -> int:
     return i
 
 
-def near_documents(documents: DataFrame, share: float = 0.05) -> DataFrame:
-    """Pairs (doc_id, near_id, distance): each row with the first of its band, verified.
+def _gram_counts(text: str, bits: int) -> np.ndarray:
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    h = np.zeros(max(0, len(points) - GRAM + 1), dtype=np.uint64)
+    for k in range(GRAM):
+        h = h * np.uint64(0x100000001B3) + points[k : k + len(h)]
+    return np.bincount(((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+
+
+def far(a: str, b: str, most: int) -> bool:
+    """Whether counts of n-grams show that the edit distance is over ``most``: an edit changes 2n of them at most."""
+    if abs(len(a) - len(b)) > most:
+        return True
+    if min(len(a), len(b)) < GRAM or 2 * GRAM * most >= len(a) + len(b):
+        return False
+    bits = max(len(a), len(b)).bit_length() + 1
+    return int(np.abs(_gram_counts(a, bits) - _gram_counts(b, bits)).sum()) > 2 * GRAM * most
+
 
-    Equal texts are one class and only its smallest id is compared. In each
-    band group members are compared with the group's smallest id, so a group
-    of n gives n - 1 candidates, not all pairs; the pair stays if its edit
-    distance is at most ``share`` of the longer text.
+def text_classes(documents: DataFrame) -> DataFrame:
+    """(doc_id, class_id) of every row with an id: the smallest doc_id of an equal text. Null is empty.
+
+    ``near_documents`` names classes by class_id; this says who is in them.
+    """
+    rows = documents.where("doc_id is not null").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_key"))
+    return rows.join(rows.groupBy("text_key").agg(F.min("doc_id").alias("class_id")), "text_key").select("doc_id", "class_id")
+
+
+def _masks() -> np.ndarray:
+    """masks[n]: the first n sampled bits, as four longs."""
+    return np.packbits(np.arange(BITS) < np.arange(BITS + 1)[:, None], axis=1).view(np.uint64)
+
+
+def _close(scale: int, chars: np.ndarray, inside: np.ndarray, bits: np.ndarray, mine: np.ndarray, own: bool, share: float) -> Iterator[tuple[int, int]]:
+    """Places (i, j) of rows, by ascending length, whose lengths allow the share of edits and whose
+    samples agree more than chance has it; with ``own`` those of one block, else of different ones."""
+    masks = _masks()
+    for i in range(len(chars) - 1):
+        # the edit distance is the difference of the lengths at least
+        end = int(np.searchsorted(chars - (share * chars).astype(np.int64), chars[i], side="right"))
+        if end <= i + 1:
+            continue
+        j = np.arange(i + 1, end)
+        j = j[(mine[j] == mine[i]) == own]
+        if scale >= FILTERED:
+            n = np.minimum(inside[j], inside[i])
+            apart = np.bitwise_count((bits[j] ^ bits[i]) & masks[n]).sum(axis=1)
+            j = j[(apart <= n / 2 - CHANCE * np.sqrt(n) / 2) | (n < 16)]
+        for k in j.tolist():
+            yield i, k
+
+
+def _candidates(banded: DataFrame, kind: str, share: float) -> DataFrame:
+    """Distinct (doc_id, near_id), near_id smaller, of the rows of a band group that may be near.
+
+    All rows of a group meet: a group of more than ``BLOCK`` is cut into
+    blocks, and each two blocks meet in one task.
+    """
+    spark = banded.sparkSession
+    large = written(spark, banded.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "edit-large")
+    zero = F.lit(0).cast("long")
+    small = banded.join(large, "band", "left_anti").withColumn("mine", zero).withColumn("part", zero).withColumn("own", F.lit(True))
+    n = F.ceil(2 * F.col("n") / F.lit(BLOCK))
+    cut = banded.join(large, "band").withColumn("n", n).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("n")))
+    cut = cut.withColumn("other", F.explode(F.sequence(zero, F.col("n") - 1)))
+    part = F.least("mine", "other") * F.col("n") + F.greatest("mine", "other")
+    cut = cut.withColumn("part", part).withColumn("own", F.col("mine") == F.col("other"))
+    # a block by itself is a part of its own; it is not compared again where it meets the others
+    cut = cut.drop("n", "other")
+    rows = small.unionByName(cut).repartition("band", "part").sortWithinPartitions("band", "part", "chars")
+
+    def run(batches):
+        held, now = [], None
+
+        def found():
+            doc_id, chars, inside, bits, mine, own = zip(*held, strict=True)
+            packed = np.frombuffer(b"".join(bits), dtype=np.uint64).reshape(len(held), -1)
+            pairs = _close(int(now[0].split(".")[0], 16), np.array(chars), np.array(inside), packed, np.array(mine), own[0], share)
+            return [(max(doc_id[i], doc_id[j]), min(doc_id[i], doc_id[j])) for i, j in pairs if doc_id[i] != doc_id[j]]
+
+        def batch(pairs):
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], id_type) for k in (0, 1)], names=["doc_id", "near_id"])
+
+        out, id_type = [], None
+        for b in batches:
+            id_type = b.column(2).type
+            for band, part, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (band, part) != now:
+                    if len(held) > 1:
+                        out += found()
+                    held, now = [], (band, part)
+                    if len(out) >= 10_000:
+                        yield batch(out)
+                        out = []
+                held.append(row)
+        if len(held) > 1:
+            out += found()
+        if out:
+            yield batch(out)
+
+    rows = rows.select("band", "part", "doc_id", "chars", "inside", "bits", "mine", "own")
+    return rows.mapInArrow(run, f"doc_id {kind}, near_id {kind}").distinct()
+
+
+def near_documents(documents: DataFrame, share: float = 0.05) -> DataFrame:
+    """Pairs (doc_id, near_id, distance), near_id smaller: what shares a band and is near, verified.
+
+    Equal texts are one class, named by its smallest id; ``text_classes`` has
+    the members. All members of a band group are compared with each other: by
+    length, which is exact, then by their samples, and texts whose samples
+    agree more than chance has it by edit distance, which is at most ``share``
+    of the longer text in the pairs that stay. The comparisons of samples grow
+    with the square of a band group's size, in tasks of bounded size.
     """
     spark = documents.sparkSession
     small_batches(spark)
     classes = documents.where("doc_id is not null").groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.min("doc_id").alias("doc_id"))
     classes = written(spark, classes, "edit-classes")
-    prints = fingerprints(classes)
+    texts = classes.select("doc_id", "text")
 
     def explode(batches):
         for b in batches:
-            keys = [bands(x) for x in b.column(1).to_pylist()]
-            rows = pa.array([k for k, x in enumerate(keys) for _ in x], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array([k for x in keys for k in x], pa.string())], names=["doc_id", "band"])
+            wanted = b.column(1).to_pylist()
+            prints = _embedder().fingerprints(wanted)
+            rows, names, inside, bits = [], [], [], []
+            for k, x in enumerate(prints):
+                read = _read(x)
+                for band in bands(x):
+                    n, own = read[int(band.split(".")[0], 16)]
+                    rows.append(k)
+                    names.append(band)
+                    inside.append(n)
+                    bits.append(np.packbits(own).tobytes())
+            at = pa.array(rows, pa.int64())
+            chars = pa.array([len(t) for t in wanted], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(names, pa.string()), chars.take(at), pa.array(inside, pa.int32()), pa.array(bits, pa.binary())], names=["doc_id", "band", "chars", "inside", "bits"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    banded = written(spark, prints.mapInArrow(explode, f"doc_id {kind}, band string"), "edit-bands")
-    least = banded.groupBy("band").agg(F.min("doc_id").alias("near_id"))
-    pairs = banded.join(least, "band").where("doc_id <> near_id").select("doc_id", "near_id").distinct()
-    texts = classes.select("doc_id", "text")
+    banded = written(spark, texts.mapInArrow(explode, f"doc_id {kind}, band string, chars long, inside int, bits binary"), "edit-bands")
+    pairs = written(spark, _candidates(banded, kind, share), "edit-pairs")
     both = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("near_id"), F.col("text").alias("near_text")), "near_id")
 
     def verify(batches):
         for b in batches:
-            d = [edit_distance(x, y, int(share * max(len(x), len(y)))) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            most = [(x, y, int(share * max(len(x), len(y)))) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            d = [None if far(*m) else edit_distance(*m) for m in most]
             out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d, pa.int64())], names=["doc_id", "near_id", "distance"])
             yield out.filter(pa.array([x is not None for x in d], pa.bool_()))
 
