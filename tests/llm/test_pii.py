@@ -75,6 +75,26 @@ def test_patterns_find_unseen_identifiers(spark):
     assert all(r["spans"] == f"email:16:{16 + len(f'agent{d}@mail.example')}" or r["n_ip"] == 1 for d, r in rows.items() if d < 40)
 
 
+def _found(spark, docs):
+    rows = P.pii_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    text = dict(docs)
+    return {r["doc_id"]: sorted((x.split(":")[0], text[r["doc_id"]][int(x.split(":")[1]) : int(x.split(":")[2])]) for x in r["spans"].split(",")) for r in rows if r["n_found"]}
+
+
+def test_whole_spans_are_seeds(spark):
+    names = ["ann", "bob", "cat", "dan", "eve", "fay", "gus", "hal", "ida", "jon"]
+    docs = [(k, f"please call +1 (017) 555-77{k}3 now or contact {names[k]}@mail.example today") for k in range(10)]
+    docs += [(100, "please call 0175 555 7713 now"), (101, "contact jane7788 today")]
+    assert _found(spark, docs) == {100: [("phone", "0175 555 7713")], 101: [("email", "jane7788")]}
+
+
+def test_tokens_without_digits_count_against_a_pattern(spark):
+    names = ["ann", "bob", "cat", "dan", "eve", "fay", "gus", "hal"]
+    docs = [(k, f"sent to {n}@mail.example") for k, n in enumerate(names)]
+    docs += [(50 + k, f"went to {w}") for k, w in enumerate(["town", "sea", "bed", "work"])] + [(100, "went to 7001")]
+    assert _found(spark, docs) == {}
+
+
 def test_native(spark):
     plan = P.pii_report(spark.createDataFrame([(1, "a@b.c")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

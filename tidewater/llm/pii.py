@@ -4,8 +4,11 @@ Base patterns give seed entities. Then a word list and a pattern list feed each
 other: the words around known entities are lexical patterns; a pattern is worth
 the share of its tokens that are known or trusted; a token is worth the noisy-or
 of its patterns; and so on for ``ROUNDS`` rounds over counts of (pattern, token)
-pairs. Tokens of an identifier's shape that stand in patterns of high worth are
-found too, under the kind of their patterns.
+pairs. Known are whole base matches, drawn out to white space, with what stands
+around them. Tokens of an identifier's shape, and runs of numbers for phones and
+cards, that stand in patterns of high worth are found too, under the kind of
+their patterns. Tokens without a digit are never found, but count against the
+patterns they stand in.
 
 Java's expressions here are possessive where the greedy forms cannot give back
 anything, and start only where a match can, so that long runs of one character
@@ -35,8 +38,9 @@ EMAIL = rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[{_HOST}]++(?:\.[{_HOST}]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: A token with a digit: what bootstrapping may find.
-TOKEN = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9]*+[0-9])[^\x20\x09-\x0D]++"
+_NUMBER = r"[+(]?+[+(]?+[0-9][0-9().+-]*+"
+#: A run of numbers or else a token with a digit: what bootstrapping may find.
+TOKEN = rf"(?<![^\x20\x09-\x0D])(?:{_NUMBER}(?:\x20{_NUMBER})++(?![^\x20\x09-\x0D])|(?=[^\x20\x09-\x0D0-9]*+[0-9])[^\x20\x09-\x0D]++)"
 _PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "token": TOKEN}
 
 
@@ -83,16 +87,14 @@ _DOC = ["doc_id", "text_hash"]
 
 
 def _hit(kind: str):
-    context = kind == "token"
-
     def hit(x: Column, i: Column) -> Column:
         return F.struct(
             F.lit(kind).alias("kind"),
             i.alias("i"),
             F.char_length(x["p"]).cast("long").alias("gap"),
             x["m"].alias("match"),
-            (F.substring(x["p"], -CONTEXT, CONTEXT) if context else F.lit("")).alias("left"),
-            (F.substring(x["q"], 1, CONTEXT) if context else F.lit("")).alias("right"),
+            F.substring(x["p"], -CONTEXT, CONTEXT).alias("left"),
+            F.substring(x["q"], 1, CONTEXT).alias("right"),
         )
 
     return hit
@@ -141,27 +143,63 @@ def _contexts(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("pattern", F.explode(F.filter(named, lambda x: x.isNotNull())))
 
 
-def trusted_patterns(tokens: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def _others(documents: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, n_others): the distinct tokens without a digit, addresses apart, that stand in the patterns; one pass over the texts."""
+    ws = F.split(F.lower("text"), r"[\x20\x09-\x0D]+")
+    at = lambda i: F.coalesce(F.get("ws", i), F.lit(""))
+    each = F.transform("ws", lambda w, i: F.struct(w.alias("w"), at(i - 2).alias("two"), at(i - 1).alias("before"), at(i + 1).alias("after")))
+    tokens = documents.select(ws.alias("ws")).select(F.explode(each).alias("t")).select("t.*").where((F.col("before") != "") & (F.col("w") != "") & ~F.col("w").rlike(rf"[0-9]|[{_LOCAL}]@[{_HOST}]+\.[{_HOST}]"))
+    few = patterns.select("pattern").distinct()
+    few = F.broadcast(few) if few.count() <= BROADCAST_PATTERNS else few
+    # the last word of what stands before, so that most tokens go at once
+    last = few.select(F.regexp_extract("pattern", rf"^[123] (?:{_WORD}[\x20\x09-\x0D]+)??({_WORD})(?: _ {_WORD})?$", 1).alias("before")).distinct()
+    tokens = tokens.join(last, "before", "left_semi")
+    named = F.array(
+        F.concat(F.lit("1 "), F.col("before")),
+        F.when(F.col("two") != "", F.concat(F.lit("2 "), F.col("two"), F.lit(" "), F.col("before"))),
+        F.when(F.col("after") != "", F.concat(F.lit("3 "), F.col("before"), F.lit(" _ "), F.col("after"))),
+    )
+    value = F.regexp_replace("w", r"^[^a-z]+|[^a-z]+$", "")
+    pairs = tokens.select(value.alias("value"), F.explode(named).alias("pattern")).where("pattern is not null").join(few, "pattern", "left_semi")
+    return pairs.distinct().groupBy("pattern").agg(F.count("*").alias("n_others"))
+
+
+def trusted_patterns(tokens: DataFrame, rounds: int = ROUNDS, documents: DataFrame | None = None) -> DataFrame:
     """(pattern, kind, worth) of the patterns that are trusted after some rounds.
 
     ``tokens`` holds value, left, right and known, the kind of the base match
     in the token or null. All is counted over distinct (pattern, value) pairs.
+    With ``documents`` the tokens without a digit count too: those that stand
+    in patterns which would be trusted without them, as they can only lower
+    the worth of patterns.
     """
     spark = tokens.sparkSession
     pairs = written(spark, _contexts(tokens).select("pattern", "value").distinct(), "pii-pairs")
     sizes = written(spark, pairs.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_KNOWN), "pii-sizes")
     seeds = written(spark, tokens.where("known is not null").select("value", F.col("known").alias("kind")).distinct().withColumn("score", F.lit(1.0)), "pii-seeds")
-    scores = seeds
+    every = _rounds(pairs, sizes, seeds, rounds)
+    if documents is None or every[-1].isEmpty():
+        return every[-1]
+    # more than this is trusted in no round
+    most = written(spark, _others(documents, every[-1]), "pii-others")
+    sizes = sizes.join(most, "pattern", "left").select("pattern", (F.col("n") + F.coalesce("n_others", F.lit(0))).alias("n"))
+    return _rounds(pairs, sizes, seeds, rounds)[-1]
+
+
+def _rounds(pairs: DataFrame, sizes: DataFrame, seeds: DataFrame, rounds: int) -> list[DataFrame]:
+    """The trusted patterns after each round; scores never fall, so none is lost from one to the next."""
+    spark = pairs.sparkSession
+    scores, out = seeds, []
     for k in range(rounds):
         sums = pairs.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("total"), F.sum((F.col("score") >= TRUSTED).cast("int")).alias("n_known"))
         worth = sums.join(sizes, "pattern").where(F.col("n_known") >= LEAST_KNOWN).select("pattern", "kind", (F.col("total") / F.col("n")).alias("worth"))
-        trusted = written(spark, worth.where(F.col("worth") >= TRUSTED), "pii-trusted")
+        out.append(written(spark, worth.where(F.col("worth") >= TRUSTED), "pii-trusted"))
         if k + 1 < rounds:
             # a value is worth the noisy-or of its trusted patterns; seeds stay certain
-            found = pairs.join(trusted, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("worth"), F.lit(1e-6)))))).alias("score"))
+            found = pairs.join(out[-1], "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("worth"), F.lit(1e-6)))))).alias("score"))
             scores = found.unionByName(seeds).groupBy("value", "kind").agg(F.max("score").alias("score"))
             scores = written(spark, scores, "pii-scores")
-    return trusted
+    return out
 
 
 def _value(match: Column) -> Column:
@@ -173,19 +211,28 @@ def spans(documents: DataFrame) -> DataFrame:
     """doc_id, text_hash, kind, start, end (code points, end exclusive) and base of all spans.
 
     Base spans are all there; a token that overlaps none of them is found if it
-    has digits enough, is not long and stands in a trusted pattern.
+    has digits enough, is not long and stands in a trusted pattern. A run of
+    numbers is found whole in patterns of phones and cards, in others its first.
     """
     spark = documents.sparkSession
     hits = written(spark, _hits(documents), "pii-hits")
     base = hits.where("kind <> 'token'").select(*_DOC, "kind", "start", "end")
     tokens = hits.where("kind = 'token'").select(*_DOC, "start", "end", "match", "left", "right").withColumn("value", _value(F.col("match")))
-    b = base.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.col("kind").alias("known"), F.col("start").alias("s"), F.col("end").alias("e"))
+    b = base.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.col("start").alias("s"), F.col("end").alias("e"))
     over = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_hash").eqNullSafe(F.col("h")) & (F.col("s") < F.col("end")) & (F.col("start") < F.col("e"))
-    tokens = written(spark, tokens.join(b, over, "left").groupBy(*_DOC, "start", "end", "value", "left", "right").agg(F.min("known").alias("known")), "pii-tokens")
-    trusted = trusted_patterns(tokens)
+    tokens = tokens.join(b, over, "left_anti")
+    # base matches are drawn out to white space; they stand for the tokens that they touch
+    more, rest = F.regexp_extract("left", rf"{_WORD}$", 0), F.regexp_extract("right", rf"^{_WORD}", 0)
+    whole = hits.where("kind <> 'token'").select(*_DOC, "start", "end", F.concat(more, "match", rest).alias("match"), F.regexp_replace("left", rf"{_WORD}$", "").alias("left"), F.regexp_replace("right", rf"^{_WORD}", "").alias("right"), F.col("kind").alias("known"))
+    whole = whole.withColumn("value", _value(F.col("match")))
+    tokens = written(spark, tokens.withColumn("known", F.lit(None).cast("string")).unionByName(whole), "pii-tokens")
+    trusted = trusted_patterns(tokens, documents=documents)
     few = F.broadcast(trusted) if trusted.count() <= BROADCAST_PATTERNS else trusted
-    unknown = tokens.where(F.col("known").isNull() & (F.length("value") <= MOST_CHARS) & (F.length(_digits(F.col("value"))) >= LEAST_DIGITS))
-    found = _contexts(unknown).join(few, "pattern").groupBy(*_DOC, "start", "end").agg(F.max_by("kind", F.struct("worth", "kind")).alias("kind"))
+    unknown = _contexts(tokens.where(F.col("known").isNull())).join(few, "pattern")
+    first = F.regexp_extract("match", rf"^{_WORD}", 0)
+    unknown = unknown.withColumn("found", F.when(F.col("kind").isin("phone", "card"), F.col("match")).otherwise(first))
+    unknown = unknown.where((F.length(_value(F.col("found"))) <= MOST_CHARS) & (F.length(_digits(F.col("found"))) >= LEAST_DIGITS)).withColumn("end", F.col("start") + F.char_length("found"))
+    found = unknown.groupBy(*_DOC, "start").agg(F.max_by(F.struct("kind", "end"), F.struct("worth", "kind", "end")).alias("best")).select(*_DOC, "start", "best.*")
     return base.withColumn("base", F.lit(True)).unionByName(found.select(*_DOC, "kind", "start", "end").withColumn("base", F.lit(False)))
 
 
