@@ -43,3 +43,26 @@ def test_entry_without_the_optional_parts():
     assert e._optional(missing) == {}
     with pytest.raises(ModuleNotFoundError):
         e._optional(other)
+
+
+def test_profile_of_all_columns(spark, con):
+    got = {r["name"]: r for r in Q.queries()["profile_lineitem_all"](spark, SF).collect()}
+    df = spark.read.parquet(f"{SF}/lineitem.parquet")
+    assert {n: r["data_type"] for n, r in got.items()} == dict(df.dtypes)
+    for name, kind in df.dtypes:
+        r = got[name]
+        values = sorted(x for (x,) in con.execute(f"select {name} from lineitem").fetchall() if x is not None)
+        assert r["null_count"] == con.execute(f"select count(*) - count({name}) from lineitem").fetchone()[0]
+        if kind in ("string", "timestamp", "timestamp_ntz"):
+            assert (r["min"], r["max"], r["p50"]) == (str(values[0]), str(values[-1]), "")
+            continue
+        assert (float(r["min"]), float(r["max"])) == (values[0], values[-1])
+        for q, p in ((0.25, "p25"), (0.5, "p50"), (0.99, "p99")):
+            at, slack = q * len(values), len(values) / 10_000 + 1
+            assert values[max(0, int(at - slack) - 1)] <= float(r[p]) <= values[min(len(values) - 1, int(at + slack))]
+
+
+@pytest.mark.parametrize("name", ["project_computed", "cast_double_colon", "scalar_array_pack"])
+def test_whole_tables_are_read(spark, name):
+    table = "lineitem" if name == "project_computed" else "orders"
+    assert Q.queries()[f"{name}_all"](spark, SF).count() == spark.read.parquet(f"{SF}/{table}.parquet").count()

@@ -107,6 +107,11 @@ SQL: dict[str, str] = {
     "scalar_string_pack": "SELECT p_partkey, upper(p_name) AS u, length(p_name) AS n, substr(p_name, 2, 3) AS s, concat(p_brand, '-', p_type) AS c, replace(p_name, 'a', 'A') AS r, reverse(p_brand) AS v, lpad(p_brand, 12, '*') AS l, trim(p_type) AS t, strpos(p_name, 'a') AS at, split_part(p_type, ' ', 1) AS first_word, starts_with(p_name, 'b') AS b, repeat('ab', 2) AS rep, ascii(p_name) AS asc_code, md5(p_name) AS m FROM part",
     "scalar_date_pack": "SELECT o_orderkey, date_trunc('month', o_orderdate) AS m, CAST(date_part('year', o_orderdate) AS BIGINT) AS y, CAST(date_part('month', o_orderdate) AS BIGINT) AS mo, CAST(o_orderdate AS DATE) AS d FROM orders",
     "scalar_math_pack": "SELECT p_partkey, abs(p_size - 25) AS a, ceil(p_retailprice) AS c, floor(p_retailprice) AS f, round(sqrt(p_retailprice), 6) AS s, round(ln(p_retailprice), 6) AS l, power(p_size, 2) AS p, p_size % 7 AS m, sign(p_size - 25) AS sg, gcd(p_size, 12) AS g, lcm(p_size, 4) AS lc, greatest(p_size, 10) AS gr, least(p_size, 10) AS le, coalesce(nullif(p_size, 7), -1) AS nf FROM part",
+    # the operators of statements above that read a few ids, over whole tables
+    "project_computed_all": "SELECT 1 + 1 AS two, l_orderkey, l_linenumber, l_quantity * 2 AS twice, CAST(l_quantity AS BIGINT) AS q FROM lineitem",
+    "cast_double_colon_all": "SELECT o_orderkey, o_orderkey::double / 4 AS quarter FROM orders",
+    "filter_flipped_all": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE 45 < l_quantity AND 0.04 > l_discount",
+    "join_null_safe_all": "SELECT CAST(sum(a.n * b.n) AS BIGINT) AS n FROM (SELECT k, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey END AS k FROM orders) x GROUP BY k) a JOIN (SELECT k, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_custkey END AS k FROM customer) y GROUP BY k) b ON a.k IS NOT DISTINCT FROM b.k",
     "cast_special_floats": "SELECT 'NaN'::double AS n, CAST('Infinity' AS DOUBLE) AS i, CAST(NULL AS DOUBLE) AS z",
 }
 
@@ -116,6 +121,10 @@ PAIRS: dict[str, tuple[str, str]] = {
         "SELECT o_orderkey, array_length([o_orderkey, o_custkey]) AS n, [o_orderkey, o_custkey][2] AS second, array_to_string(['a', 'b'], '-') AS j, array_has([1, 2, 3], 2) AS h FROM orders WHERE o_orderkey < 400",
         "SELECT o_orderkey, CAST(len([o_orderkey, o_custkey]) AS INTEGER) AS n, o_custkey AS second, 'a-b' AS j, true AS h FROM orders WHERE o_orderkey < 400",
     ),
+    "scalar_array_pack_all": (
+        "SELECT o_orderkey, array_length([o_orderkey, o_custkey]) AS n, [o_orderkey, o_custkey][2] AS second, array_to_string(['a', 'b'], '-') AS j, array_has([1, 2, 3], 2) AS h FROM orders",
+        "SELECT o_orderkey, CAST(len([o_orderkey, o_custkey]) AS INTEGER) AS n, o_custkey AS second, 'a-b' AS j, true AS h FROM orders",
+    ),
     "generate_series": ("SELECT value, value * 2 AS twice FROM generate_series(1, 100)", "SELECT generate_series AS value, generate_series * 2 AS twice FROM generate_series(1, 100)"),
     "date_bin": (
         "SELECT event_id, date_bin(INTERVAL '15' MINUTE, ts) AS b FROM events",
@@ -184,6 +193,11 @@ def profile_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile_table(_frame(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag").df).select("name", "min", "max", "null_count")
 
 
+def profile_lineitem_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every column with its type and quantiles; the quantiles are approximate, so tests hold them to brute force."""
+    return profile_table(_frame(spark, sf_dir, "lineitem").df)
+
+
 def strict_float_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = datagen.demo_table(spark, 100_000, special_floats=True)
     return strict.with_total_order(df, "v").groupBy("k").agg(strict.total_min("v").alias("lo"), strict.total_max("v").alias("hi"))
@@ -215,6 +229,7 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
         wrapping_sum,
         "SELECT l_suppkey, CAST(((sum(CAST(l_orderkey AS HUGEINT) + 9223370937343148031) + 9223372036854775808) % 18446744073709551616) - 9223372036854775808 AS BIGINT) AS s FROM lineitem GROUP BY l_suppkey",
     ),
+    "profile_lineitem_all": (profile_lineitem_all, None),
     "strict_float_minmax": (strict_float_minmax, None),
     "gen_data": (gen_data, None),
 }
