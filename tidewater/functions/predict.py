@@ -8,7 +8,8 @@ import struct
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,26 +112,36 @@ def read_model(spark: SparkSession, path: str, activation: str | None = None) ->
 
 
 def scorer(spark: SparkSession, path: str, activation: str | None = None):
-    """A vectorised function of a features column without null elements, which Arrow gives as NaN."""
-    shared = spark.sparkContext.broadcast(read_model(spark, path, activation))
+    """A vectorised function of a features column, for the model at a path."""
+    return scorer_of(spark, read_model(spark, path, activation))
 
-    @F.pandas_udf("array<float>")
-    def predict(features: pd.Series) -> pd.Series:
+
+def scorer_of(spark: SparkSession, model: Model):
+    """A vectorised function of a features column; null for a null vector or element."""
+    shared = spark.sparkContext.broadcast(model)  # at most MOST_BYTES
+
+    @F.arrow_udf("array<float>")
+    def predict(features: pa.Array) -> pa.Array:
         model = shared.value
-        width = model.layers[0][0].shape[1]
-        good = [k for k, x in enumerate(features) if x is not None]
-        out = pd.Series([None] * len(features), dtype=object)
-        if good:
-            rows = [np.asarray(features.iloc[k], dtype=np.float32) for k in good]
-            if any(len(r) != width for r in rows):
-                raise ValueError(f"predict: the model takes {width} features")
-            for k, y in zip(good, model(np.stack(rows)), strict=True):
-                out.iloc[k] = y.astype(np.float32)
-        return out
+        width, out = model.layers[0][0].shape[1], model.layers[-1][0].shape[0]
+        known = features.is_valid()
+        vectors = features.filter(known)
+        sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+        if (sizes != width).any():
+            raise ValueError(f"predict: the model takes {width} features")
+        flat = vectors.flatten()
+        x = flat.cast(pa.float32()).to_numpy(zero_copy_only=False).reshape(-1, width)
+        gap = flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, width).any(axis=1)
+        y = model(np.nan_to_num(x, nan=0.0) if gap.any() else x).astype(np.float32)
+        # a row of the result for each row, null ones empty
+        good = np.zeros(len(features), dtype=bool)
+        good[np.flatnonzero(known.to_numpy(zero_copy_only=False))] = ~gap
+        offsets = np.concatenate(([0], np.cumsum(good * out))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(y[~gap].ravel()), mask=pa.array(~good))
 
     return predict
 
 
 def predict(spark: SparkSession, path: str, features: Column, activation: str | None = None) -> Column:
     """The model's outputs; null for a null vector or element."""
-    return F.when(~F.exists(features, lambda x: x.isNull()), scorer(spark, path, activation)(features))
+    return scorer(spark, path, activation)(features)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Quantiles that a profile has.
-QUANTILES = (0.25, 0.5, 0.99)
+#: Quantiles that a profile has, by name.
+QUANTILES = {"p25": 0.25, "p50": 0.5, "p99": 0.99}
 #: Relative error of the quantiles is one in this many.
 ACCURACY = 10_000
 
@@ -27,35 +27,35 @@ class ColumnProfile:
 
 
 def _ordered(kind: T.DataType) -> bool:
+    """Whether values of the type can be compared, those within it too."""
+    if isinstance(kind, T.ArrayType):
+        return _ordered(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_ordered(f.dataType) for f in kind.fields)
     return not isinstance(kind, (T.MapType, T.VariantType, T.CalendarIntervalType))
 
 
-def _name(column: str):
-    return F.col("`" + column.replace("`", "``") + "`")
+def _summary(f: T.StructField) -> Column:
+    """A column's figures as one struct: texts by name, null where the type has no such figure."""
+    column = F.col("`" + f.name.replace("`", "``") + "`")
+    none = F.lit(None).cast("string")
+    low, high = (F.min(column).cast("string"), F.max(column).cast("string")) if _ordered(f.dataType) else (none, none)
+    cuts = {q: none for q in QUANTILES}
+    if isinstance(f.dataType, T.NumericType):
+        several = F.percentile_approx(column.cast("double"), list(QUANTILES.values()), ACCURACY)
+        cuts = {q: several[k].cast("string") for k, q in enumerate(QUANTILES)}
+    return F.struct(F.count_if(column.isNull()).alias("null_count"), low.alias("min"), high.alias("max"), *[c.alias(q) for q, c in cuts.items()])
 
 
 def profile_frame(df: DataFrame) -> list[ColumnProfile]:
     """Null counts of all columns, least and greatest where the type has an order, quantiles of numbers."""
-    aggs = [F.count("*")]
-    slots = []
-    for f in df.schema.fields:
-        slot = {"count": len(aggs)}
-        aggs.append(F.count(_name(f.name)))
-        if _ordered(f.dataType):
-            slot["range"] = len(aggs)
-            aggs += [F.min(_name(f.name)).cast("string"), F.max(_name(f.name)).cast("string")]
-        if isinstance(f.dataType, T.NumericType):
-            slot["quantiles"] = len(aggs)
-            aggs.append(F.percentile_approx(_name(f.name).cast("double"), list(QUANTILES), ACCURACY))
-        slots.append(slot)
-    row = df.agg(*[a.alias(f"a{k}") for k, a in enumerate(aggs)]).first()
-    text = lambda x: "" if x is None else str(x)
+    if not df.columns:
+        return []
+    row = df.agg(*[_summary(f).alias(f"c{k}") for k, f in enumerate(df.schema.fields)]).first()
     out = []
-    for f, slot in zip(df.schema.fields, slots, strict=True):
-        low, high = (row[slot["range"]], row[slot["range"] + 1]) if "range" in slot else (None, None)
-        q = row[slot["quantiles"]] if "quantiles" in slot else None
-        q = q or [None] * len(QUANTILES)
-        out.append(ColumnProfile(f.name, f.dataType.simpleString(), text(low), text(high), row[0] - row[slot["count"]], *map(text, q)))
+    for f, found in zip(df.schema.fields, row, strict=True):
+        texts = {c: found[c] or "" for c in ("min", "max", *QUANTILES)}
+        out.append(ColumnProfile(f.name, f.dataType.simpleString(), null_count=found["null_count"], **texts))
     return out
 
 

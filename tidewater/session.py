@@ -16,7 +16,7 @@ from tidewater.errors import EngineError, classify
 from tidewater.frame import Frame
 from tidewater.functions import predict
 from tidewater.operators.profile import ColumnProfile, profile_frame
-from tidewater.plans import dialect, report
+from tidewater.plans import dialect, report, typed
 from tidewater.sources import parquet
 
 log = logging.getLogger("tidewater")
@@ -39,10 +39,13 @@ class SessionOptions:
 
     Without ``pruning`` no filter reaches the Parquet scan: slower, but files whose
     statistics leave NaN out then keep the NaN rows that a filter matches.
+    With ``strict`` sums of bigints wrap instead of failing, and ``min`` and
+    ``max`` of doubles follow the total order (-0.0 before 0.0, NaN last).
     """
 
     batch_size: int | None = None
     pruning: bool = True
+    strict: bool = False
 
     def check(self) -> None:
         if self.batch_size is not None and self.batch_size <= 0:
@@ -78,6 +81,7 @@ class Session:
             self.spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(options.batch_size))
             self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(options.batch_size))
         self.tables: dict[str, str] = {}
+        self.strict = options.strict
 
     @classmethod
     def local(cls, cores: str = "*", options: SessionOptions | None = None, **config: str) -> Session:
@@ -147,22 +151,34 @@ class Session:
                 self._name(f'"{name}"', self.spark.read.format(kind).option("header", "true").load(path))
             return self.spark.createDataFrame([], "name string")
         if create := dialect.create_statement(query):
-            self._name(f'"{create[0]}"', self._sql(create[1]).cache())
+            self._name(f'"{create[0]}"', self._snapshot(self._sql(create[1])))
             return self.spark.createDataFrame([], "name string")
         query, models = dialect.predict_calls(query)
         for name, path, activation in models:
             self.spark.udf.register(name, predict.scorer(self.spark, path, activation))
-        return self.spark.sql(dialect.to_spark(query))
+        return self.spark.sql(typed.by_type(self.spark, dialect.to_spark(query), self.strict))
 
     def _save(self, df: DataFrame, copy: dialect.Copy) -> int:
-        df.write.mode("overwrite").format(copy.format).option("header", "true").save(copy.path)
-        return df.count()
+        return parquet.counted(df, lambda out: out.write.mode("overwrite").format(copy.format).option("header", "true").save(copy.path))
+
+    @staticmethod
+    def _snapshot(df: DataFrame) -> DataFrame:
+        """The rows as they are now: in the folder of checkpoints where the cluster names one, else in the executors' storage."""
+        if df.sparkSession.sparkContext.getCheckpointDir():
+            return df.checkpoint(eager=True)
+        held = df.persist()
+        held.count()
+        return held
 
     def collect(self, query: str) -> pa.Table:
         """Run a query to an Arrow table on the driver; one log line says what it took."""
         began = time.monotonic()
-        out = self._try(lambda: self.sql(query).toArrow())
-        log.info("query finished rows=%d elapsed_ms=%.1f", out.num_rows, 1000 * (time.monotonic() - began))
+        df = self.sql(query)
+        out = self._try(df.toArrow)
+        plan = report.nodes(df)
+        mode = "embedded" if self.spark.sparkContext.master.startswith("local") else "cluster"
+        fitting = sum(n.tag is not None for n in plan)
+        log.info("query finished mode=%s rows=%d batches=%d operators=%d fitting=%d elapsed_ms=%.1f", mode, out.num_rows, len(out.to_batches()), len(plan), fitting, 1000 * (time.monotonic() - began))
         return out
 
     def explain(self, query: str) -> str:

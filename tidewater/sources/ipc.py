@@ -52,17 +52,25 @@ def read_ipc(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("arrow_ipc").load(path)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch as the bytes of a stream of its own."""
+    for b in batches:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, b.schema) as out:
+            out.write_batch(b)
+        yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch"])
+
+
 def write_ipc(df: DataFrame, path: str) -> int:
-    """Write one file from the driver, partition after partition; the number of rows."""
+    """Write one file from the driver, which holds a partition's batches at a time; the number of rows.
+
+    The batches are made on the executors and pass through as they are.
+    """
     schema, rows = to_arrow_schema(df.schema), 0
     with pa.OSFile(path, "wb") as sink, pa.ipc.new_file(sink, schema) as out:
-        held = []
-        for row in df.toLocalIterator(prefetchPartitions=True):
-            held.append(row.asDict(recursive=True))
-            if len(held) == 65_536:
-                out.write_batch(pa.RecordBatch.from_pylist(held, schema=schema))
-                rows, held = rows + len(held), []
-        if held:
-            out.write_batch(pa.RecordBatch.from_pylist(held, schema=schema))
-            rows += len(held)
+        for row in df.mapInArrow(_packed, "batch binary").toLocalIterator(prefetchPartitions=True):
+            for b in pa.ipc.open_stream(row["batch"]):
+                if b.num_rows:
+                    out.write_batch(pa.RecordBatch.from_arrays(pa.Table.from_batches([b]).cast(schema).combine_chunks().to_batches()[0].columns, schema=schema))
+                    rows += b.num_rows
     return rows

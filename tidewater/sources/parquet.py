@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from tidewater.errors import EngineError, classify
+from tidewater.plans import report
 
 #: Accepted compressions and Spark's names.
 _CODECS = {"zstd": "zstd", "lz4_raw": "lz4_raw", "snappy": "snappy", "none": "none"}
@@ -52,45 +54,71 @@ def read_checked(spark: SparkSession, path: str) -> DataFrame:
     """
     try:
         return spark.read.option("mergeSchema", "true").parquet(path)
-    except (PySparkException, Exception) as e:  # noqa: BLE001
+    except Exception as e:
         raise classify(e) from e
 
 
+def counted(df: DataFrame, write: Callable[[DataFrame], None]) -> int:
+    """Write a frame in one run; the number of rows that went out."""
+    seen = Observation()
+    write(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return seen.get["n"]
+
+
 def write_parquet(df: DataFrame, path: str, options: WriteOptions | None = None) -> int:
     """Write to a staging directory beside ``path`` and rename it there; the number of rows.
 
-    What stood at ``path`` goes only once the new files are complete.
+    What stood at ``path`` is moved aside once the new files are complete, comes
+    back if they cannot be renamed, and goes only when they have their name.
     """
     spark = df.sparkSession
     how = (options or WriteOptions()).spark_options()
-    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
-    df.write.options(**how).parquet(staging)
-    jvm = spark._jvm
-    target, source = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(staging)
+    base, mark = path.rstrip("/"), uuid.uuid4().hex
+    new = spark._jvm.org.apache.hadoop.fs.Path
+    target, staging, aside = new(base), new(f"{base}.staging-{mark}"), new(f"{base}.old-{mark}")
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        fs.delete(target, True)
-    if not fs.rename(source, target):
+    rows = counted(df, lambda out: out.write.options(**how).parquet(staging.toString()))
+    had = fs.exists(target)
+    if had and not fs.rename(target, aside):
+        raise EngineError("io", f"cannot move {path} aside")
+    if not fs.rename(staging, target):
+        if had:
+            fs.rename(aside, target)
         raise EngineError("io", f"cannot rename {staging} to {path}")
-    return spark.read.parquet(path).count()
+    if had:
+        fs.delete(aside, True)
+    return rows
+
+
+@dataclass
+class ScanSummary:
+    """What the scans of a query read."""
+
+    files: int = 0
+    bytes: int = 0
+    partitions: int = 0
+    rows: int = 0
+    listing_ms: int = 0
+    reading_ms: int = 0
+
+
+# Spark's names of the counters.
+_SCAN = {"files": "numFiles", "bytes": "filesSize", "partitions": "numPartitions", "rows": "numOutputRows", "listing_ms": "metadataTime", "reading_ms": "scanTime"}
+
+
+def scan_summary(df: DataFrame) -> ScanSummary:
+    """Run ``df``, its rows staying on the executors, and sum the counters of its scans.
+
+    Rows are those that pruning by row groups, pages and Bloom filters left.
+    """
+    out = ScanSummary()
+    for node in report.counters(df):
+        if "Scan" in node.operator:
+            for name, metric in _SCAN.items():
+                setattr(out, name, getattr(out, name) + node.metrics.get(metric, 0))
+    return out
 
 
 def rows_scanned(df: DataFrame) -> int:
     """Run ``df`` and say how many rows its scans gave: what pruning left."""
-    df.toArrow()
-    plan, total = df._jdf.queryExecution().executedPlan(), 0
-    stack = [plan]
-    while stack:
-        node = stack.pop()
-        if "Scan" in node.nodeName() and node.metrics().contains("numOutputRows"):
-            total += node.metrics().apply("numOutputRows").value()
-        for name in ("executedPlan", "plan"):
-            if node.getClass().getSimpleName() in ("AdaptiveSparkPlanExec", "ShuffleQueryStageExec", "BroadcastQueryStageExec", "ResultQueryStageExec") and hasattr(node, name):
-                try:
-                    stack.append(getattr(node, name)())
-                    break
-                except Exception:  # noqa: BLE001, S112 - not a method of this node
-                    continue
-        children = node.children()
-        stack += [children.apply(k) for k in range(children.size())]
-    return total
+    return scan_summary(df).rows
