@@ -39,8 +39,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents that are left, with their places in sequences."""
-    # workers still carry what the earlier stages left, so they keep fewer words
-    return pack(docs, known_words=200_000)
+    return pack(docs)
 
 
 STAGES = [
