@@ -1,4 +1,8 @@
+import os
+import subprocess
+import sys
 import types
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,7 +25,33 @@ def test_shared_dir():
         with pytest.raises(RuntimeError):
             common.shared_dir(_session(spark_master=master))
     own = _session(spark_master="local[4]")
-    assert common.shared_dir(own) == own.conf["spark.checkpoint.dir"]
+    assert os.path.isdir(common.shared_dir(own)) and common.shared_dir(own) == common.shared_dir(own)
+
+
+def test_written_without_the_setting():
+    code = """
+from pyspark.sql import SparkSession
+from tidewater.llm import common
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+df = common.written(spark, spark.range(3), "test")
+print("rows", df.count(), common.shared_dir(spark) == common.shared_dir(spark))
+common.forget(df)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, cwd=Path(__file__).parents[2])
+    assert "rows 3 True" in done.stdout, done.stderr[-2000:]
+
+
+def test_forget(spark):
+    df = common.written(spark, spark.range(3), "test")
+    assert os.path.isdir(df._written_to)
+    common.forget(df)
+    assert not os.path.exists(df._written_to)
+
+
+def test_kept_has_room_for_one():
+    made = []
+    make = lambda x: lambda: made.append(x) or x
+    assert [common.kept(k, make(k)) for k in "aabba"] == list("aabba") and made == ["a", "b", "a"]
 
 
 def test_ascii_lower(spark):

@@ -49,7 +49,6 @@ def test_pack_round_trip(spark):
     docs += [(500, None), (501, ""), (502, "\t \n "), (3, docs[3][1]), (None, "null id")]
     df = spark.createDataFrame([(*d, "c") for d in docs], "doc_id long, text string, length string")
     t = Tokenizer.from_file(P.default_vocabulary())
-    t.encode_special_tokens = True
     want = Counter()
     for d, text in docs:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]

@@ -16,24 +16,19 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewater.llm.common import small_batches, written
+from tidewater.llm.common import kept, released, small_batches, written
 
 SEQUENCE = 2048
 #: Ends each document.
 END_ID = 0
-#: Words whose ids a worker keeps.
-KNOWN_WORDS = 1_000_000
-#: Code points of texts whose unknown words are tokenized at once, about.
-TOGETHER = 1_000_000
 #: Pieces in one bucket of the ranking, at least; more with the square root of all, so that buckets stay few too.
 BUCKET = 2_000
 
@@ -44,81 +39,84 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-# The byte-level pattern of the vocabulary's pre-tokenizer, and the same for texts
-# under U+0250, in which the letters, numerals and white space can be listed.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
-LATIN = rf"""'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"""
+# The byte-level pattern of the vocabulary's pre-tokenizer without its alternative for white
+# space before white space (see ``_parts``), and the characters that are white space.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"""
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_RUN = re.compile(f"[{_SPACE}]{{2,}}(?=[^{_SPACE}])")
 
 
-class WordIds:
-    """Ids of texts by a byte-level BPE whose merges stay inside the words of its pattern.
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, others from U+0100 on."""
+    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(others)}
 
-    The ids of a text are those of its words in order, so each distinct word is
-    tokenized once and kept as little-endian bytes.
+
+def _ranks(spec: dict) -> dict[bytes, int] | None:
+    """Ids by bytes, if the vocabulary's merges go in the order of their ids, so that ids are ranks; else null."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+    odd = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    if spec.get("normalizer") is not None or not level or model.get("type") != "BPE" or odd:
+        return None
+    if any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        return None
+    byte, special = _byte_of(), {t["content"] for t in spec["added_tokens"]}
+    made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    plain = {s: k for s, k in model["vocab"].items() if s not in special}
+    if len(plain) != 256 + len(made) or [plain.get(s) for s in made] != list(range(256, 256 + len(made))):
+        return None
+    return {bytes(byte[c] for c in s): k for s, k in plain.items()}
+
+
+class TextIds:
+    """Ids of texts by a byte-level BPE vocabulary of the ``tokenizers`` library.
+
+    Where ids are ranks, the same merges are made by ``tiktoken``, whose
+    pattern needs no backtracking once texts are cut inside runs of white
+    space; any other vocabulary goes through the library itself.
     """
 
-    def __init__(self, vocabulary: str, known_words: int = KNOWN_WORDS):
-        self.known_words = known_words
+    def __init__(self, vocabulary: str):
         with open(vocabulary, encoding="utf-8") as f:
             spec = json.load(f)
-        pre = spec.get("pre_tokenizer") or {}
-        self.by_word = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
-        self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.any_words, self.latin_words = regex.compile(PATTERN).findall, re.compile(LATIN).findall
-        self.beyond_latin = re.compile("[^\x00-\u024f]").search
-        self.spaced = re.compile(rf" [^{_S}]+").fullmatch
-
-    def words(self, text: str) -> list[str]:
-        return self.any_words(text) if self.beyond_latin(text) else self.latin_words(text)
-
-    def _tokenize(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _of_words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of distinct words. Those with a space before them are tokenized as one text, as it splits into them again."""
-        spaced = [w for w in words if self.spaced(w)]
-        out = {}
-        if spaced and self.words(text := "".join(spaced)) == spaced:
-            e = self.tokenizer.encode(text, add_special_tokens=False)
-            ids, of = np.array(e.ids, dtype="<u4"), np.array(e.word_ids, dtype=np.int64)
-            if of[-1] == len(spaced) - 1:
-                raw, cuts = ids.tobytes(), (4 * np.searchsorted(of, np.arange(len(spaced) + 1))).tolist()
-                out = {w: raw[a:b] for w, a, b in zip(spaced, cuts, cuts[1:], strict=False)}
-        rest = [w for w in words if w not in out]
-        out.update(zip(rest, self._tokenize(rest), strict=True))
-        return out
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit bytes."""
-        if not self.by_word:
-            yield from self._tokenize(texts)
-            return
-        at, size = 0, 0
-        for k, text in enumerate(texts):
-            size += len(text)
-            if size >= TOGETHER or k + 1 == len(texts):
-                yield from self._encode([self.words(t) for t in texts[at : k + 1]])
-                at, size = k + 1, 0
-
-    def _encode(self, texts: list[list[str]]) -> list[bytes]:
-        known, needed = self.known, set().union(*texts)
-        new = list(needed.difference(known))
-        if len(known) + len(new) > self.known_words:  # what these texts need stays
-            known = self.known = {w: known[w] for w in needed.intersection(known)}
-        if new:
-            known.update(self._of_words(new))
-        return [b"".join(map(known.__getitem__, words)) for words in texts]
-
-
-@cache
-def _word_ids(vocabulary: str, known_words: int) -> WordIds:
-    return WordIds(vocabulary, known_words)
-
-
-def pieces(documents: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENCE, known_words: int = KNOWN_WORDS) -> DataFrame:
+        self.library = self.encoding = None
+        self.special = {t["content"]: np.array([t["id"]], dtype="<u4") for t in spec["added_tokens"]}
+        names = sorted(self.special, key=len, reverse=True)
+        self.split = re.compile("|".join(map(re.escape, names)).join("()")).split if names else lambda text: [text]
+        if (ranks := _ranks(spec)) is None:
+            self.library = Tokenizer.from_file(vocabulary)
+        else:
+            self.encoding = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids as unsigned 32-bit numbers; the names of special tokens in a text are these tokens."""
+        if self.library:
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        each = []
+        for x in self.split(text):
+            if x in self.special:
+                each.append(self.special[x])
+            else:
+                each += [self.encoding.encode_to_numpy(y) for y in _parts(x)]
+        return each[0] if len(each) == 1 else np.concatenate(each)
+
+
+def _parts(text: str) -> list[str]:
+    """The text cut before the last character of each run of white space that text follows.
+
+    The vocabulary's pattern leaves that character to what follows it and
+    takes the others as one word, so words end there.
+    """
+    out, at = [], 0
+    for m in _RUN.finditer(text):
+        out.append(text[at : m.end() - 1])
+        at = m.end() - 1
+    return [*out, text[at:]]
+
+
+def pieces(documents: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENCE) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of each piece; whole texts, no shuffle.
 
     A document's ids end with ``END_ID``. Only a document of more than
@@ -130,11 +128,11 @@ def pieces(documents: DataFrame, vocabulary: str | None = None, sequence: int =
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = _word_ids(vocabulary, known_words)
+        encode = kept(("packing", vocabulary), lambda: TextIds(vocabulary)).encode
         for b in batches:
             rows, piece, start, length, crc = [], [], [], [], []
-            for k, ids in enumerate(ids_of.encode([t or "" for t in b.column(1).to_pylist()])):
-                ids += end
+            for k, text in enumerate(b.column(1)):
+                ids = encode(text.as_py() or "").tobytes() + end
                 n, at, i = len(ids) // 4, 0, 0
                 while at < n:
                     stop = at + (n - at - 1) % sequence + 1
@@ -147,7 +145,7 @@ def pieces(documents: DataFrame, vocabulary: str | None = None, sequence: int =
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = documents.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return rows.mapInArrow(released(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def plan(counts: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[int, int, int, int, int]]:
@@ -218,7 +216,7 @@ def _ranked(rows: DataFrame) -> DataFrame:
     return local.join(before, ["length", "bucket"]).withColumn("rank", F.col("local") + F.col("before")).drop("bucket", "local", "before")
 
 
-def pack(documents: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENCE, known_words: int = KNOWN_WORDS) -> DataFrame:
+def pack(documents: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENCE) -> DataFrame:
     """The pieces of all documents with sequence_id and offset.
 
     Sequences are gapless from 0 and hold at most ``sequence`` ids. An empty
@@ -226,7 +224,7 @@ def pack(documents: DataFrame, vocabulary: str | None = None, sequence: int = SE
     most ``sequence`` rows; what it broadcasts is the plan over these.
     """
     spark: SparkSession = documents.sparkSession
-    rows = written(spark, pieces(documents, vocabulary, sequence, known_words), "packing-pieces")
+    rows = written(spark, pieces(documents, vocabulary, sequence), "packing-pieces")
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs = sorted(plan(counts, sequence))
     cols = spark.sparkContext.broadcast(np.array(runs or [(0, 0, 0, 0, 0)], dtype=np.int64).T.copy())
@@ -242,4 +240,4 @@ def pack(documents: DataFrame, vocabulary: str | None = None, sequence: int = SE
             yield pa.RecordBatch.from_arrays([*out, pa.array(seq[at] + rank - first[at]), pa.array(offset[at])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
-    return _ranked(rows).mapInArrow(run, schema)
+    return _ranked(rows).mapInArrow(released(run), schema)
