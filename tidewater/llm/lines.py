@@ -1,12 +1,12 @@
 """Line dedup by range-partitioned hashes (operator 3), DataFrame functions only.
 
-Lines become 128-bit hashes of their keys. Counts by hash, combined before the
-shuffle, leave the hashes that stand on enough lines; only their lines are
-range-partitioned by (hash, document) and sorted by document and position, so
-that even the most common line is spread over partitions. The first line of
-each hash in each document is streamed out and counted. What comes back is a
-bitmap of kept lines for each document, never text: 64 lines to a word, words
-in which all lines stay left out.
+One pass over the texts writes the 128-bit hashes of the lines' keys. Counts by
+hash, combined before the shuffle, leave the hashes that stand on enough lines;
+their rows are range-partitioned by (hash, document) and sorted by document and
+position, so that even the most common line is spread over partitions, and the
+first row of each hash in each document streams out of that order and is
+counted. What comes back is a bitmap of kept lines for each document, never
+text: 64 lines to a word, words in which all lines stay left out.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import ascii_lower, written
+from tidewater.llm.common import ascii_lower, forget, written
 
 #: Documents in which a line must stand to be dropped.
 LEAST_DOCS = 10
@@ -54,34 +54,45 @@ def _checked(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys.hint("merge")
 
 
+def first_in_documents(lines: DataFrame) -> DataFrame:
+    """The first row (h1, h2, doc_id, text_hash, pos) of each hash in each document.
+
+    Rows are dealt by ranges of (hash, document) and sorted by document and
+    position; the window streams over that order and adds no exchange.
+    """
+    by = ["h1", "h2", "doc_id"]
+    ranges = lines.select(*by, "text_hash", "pos").repartitionByRange(*by).sortWithinPartitions(*by, "text_hash", "pos")
+    return ranges.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("text_hash", "pos"))).where("nth = 1").drop("nth")
+
+
 def keep_bitmaps(documents: DataFrame, least_docs: int = LEAST_DOCS, least_chars: int = LEAST_CHARS, keep_first: bool = False) -> DataFrame:
     """Bitmaps of the documents that lose lines: doc_id, text_hash, keep_words.
 
     A line is dropped if its key stands in at least ``least_docs`` documents;
-    with ``keep_first`` its first line, by doc_id and position, stays. A word of
-    ``keep_words`` is (word, keep): bit i of keep is set if line 64 * word + i
-    stays; words not listed keep all their lines.
+    with ``keep_first`` its first line, by doc_id (null first), text hash and
+    position, stays. A word of ``keep_words`` is (word, keep): bit i of keep is
+    set if line 64 * word + i stays; words not listed keep all their lines.
 
-    A document is a (doc_id, text): rows that repeat both count once, and a
-    null doc_id is an id like any other. Keys differ unless 128 bits agree.
+    Rows of one doc_id are one document here, whatever their texts, and null
+    is an id like any other; each row has its own lines, so bitmaps go by
+    (doc_id, text hash). Keys differ unless 128 bits agree.
     """
     spark = documents.sparkSession
-    lines = hashed_lines(documents, least_chars)
+    lines = written(spark, hashed_lines(documents, least_chars), "lines-hashes")
     often = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).select("h1", "h2")
     often = written(spark, often, "lines-often")
-    some = lines.join(_checked(often), ["h1", "h2"], "left_semi")
-    order = ["h1", "h2", *_DOC]
-    some = written(spark, some.repartitionByRange(*order).sortWithinPartitions(*order, "pos"), "lines-some")
-    first = some.withColumn("nth", F.row_number().over(Window.partitionBy(*order).orderBy("pos"))).where("nth = 1")
-    keys = first.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct(*_DOC, "pos")).alias("first_line")).where(F.col("n") >= least_docs).drop("n")
+    some = first_in_documents(lines.join(_checked(often), ["h1", "h2"], "left_semi"))
+    keys = some.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct(*_DOC, "pos")).alias("first_line")).where(F.col("n") >= least_docs).drop("n")
     keys = written(spark, keys, "lines-keys")
-    gone = some.join(_checked(keys), ["h1", "h2"])
+    gone = lines.join(_checked(keys), ["h1", "h2"])
     if keep_first:
         gone = gone.where(~F.struct(*_DOC, "pos").eqNullSafe(F.col("first_line")))
     words = gone.groupBy(*_DOC, F.shiftright("pos", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("drop"))
     words = words.withColumn("entry", F.struct("word", F.bitwise_not("drop").alias("keep")))
     # an array of a document's own words, at most a 64th of its lines
-    return words.groupBy(*_DOC).agg(F.sort_array(F.collect_list("entry")).alias("keep_words"))
+    bitmaps = written(spark, words.groupBy(*_DOC).agg(F.sort_array(F.collect_list("entry")).alias("keep_words")), "lines-bitmaps")
+    forget(lines, often, keys)
+    return bitmaps
 
 
 def dropped_positions(keep_words):
@@ -126,10 +137,10 @@ def drop_lines(documents: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """
     names = documents.columns
     # the text travels once, as its lines
-    rest = F.struct(F.col("text").isNull().alias("_null"), *[F.col(f"`{c}`") for c in names if c != "text"]).alias("_row")
-    rows = _with_lines(documents, keep_bitmaps(documents, least_docs, keep_first=True), [rest])
+    rest = F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("_row")
+    rows = _with_lines(documents, keep_bitmaps(documents, least_docs, keep_first=True), [F.col("text").isNull().alias("_null"), rest])
     text = F.when(F.col("_dropped").isNull(), F.array_join("_lines", "\n")).otherwise(_kept_text())
-    rows = rows.withColumn("_text", F.when(~F.col("_row")["_null"], text))
+    rows = rows.withColumn("_text", F.when(~F.col("_null"), text))
     out = []
     for c in names:
         col = F.col("_text") if c == "text" else F.col("_row").getField(c)
@@ -139,19 +150,20 @@ def drop_lines(documents: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     return rows.select(*out)
 
 
-#: The same as DuckDB SQL.
+#: The same as DuckDB SQL; a row of the table by its number, as ids may repeat.
 ORACLE_SQL = """
-WITH l AS (
-  SELECT doc_id, u.i - 1 AS pos, u.line AS line,
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), l AS (
+  SELECT r, doc_id, u.i - 1 AS pos, u.line AS line,
          translate(trim(u.line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents) d,
-       LATERAL (SELECT unnest(ls) AS line, generate_subscripts(ls, 1) AS i) u
+  FROM d, LATERAL (SELECT unnest(ls) AS line, generate_subscripts(ls, 1) AS i) u
 ), often AS (
-  SELECT key FROM l WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+  SELECT key FROM l WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 10
 ), m AS (
   SELECT l.*, (o.key IS NOT NULL) AS gone FROM l LEFT JOIN often o ON l.key = o.key
 )
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+FROM m GROUP BY r, doc_id
 """
