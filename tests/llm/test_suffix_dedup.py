@@ -56,8 +56,11 @@ def test_report_equals_brute_force(spark, monkeypatch):
     want = sorted(S.brute_report(docs), key=str)
     assert sum(x[2] for x in want) > 10_000
     assert sorted((tuple(r) for r in S.repeat_report(df).collect()), key=str) == want
-    monkeypatch.setattr(S, "GROUP", 3)  # now most go window by window
-    monkeypatch.setattr(S, "BROADCAST_DOCS", 0)
+    monkeypatch.setattr(S, "GROUP", 3)  # now most are halved again and again
+    assert sorted((tuple(r) for r in S.repeat_report(df).collect()), key=str) == want
+    monkeypatch.setattr(S, "SAMPLED", 1)
+    monkeypatch.setattr(S, "HOT_RUNS", 4)  # and common anchors are dealt in parts
+    monkeypatch.setattr(S, "TOGETHER", 50)
     assert sorted((tuple(r) for r in S.repeat_report(df).collect()), key=str) == want
 
 
@@ -69,3 +72,39 @@ def test_repeated_rows_and_empty(spark):
     assert len(rows) == 4 and whole[-1] == (2, 300, 300)  # all of it starts earlier
     assert whole[0] == whole[1]  # rows alike are one document
     assert S.repeat_report(df.limit(0)).count() == 0
+
+
+def _brute_spans(docs):
+    """(doc_id, removed bytes) by digests of all windows."""
+    seen, out = set(), {}
+    for d, data in sorted(docs):
+        gone = np.zeros(len(data), dtype=bool)
+        for k in range(len(data) - 99):
+            h = hash(data[k : k + 100])
+            if h in seen:
+                gone[k : k + 100] = True
+            seen.add(h)
+        out[d] = int(gone.sum())
+    return out
+
+
+def test_text_over_the_chunk(spark):
+    rng = random.Random(8)
+    alphabet = "abcdefghijklmnopqrstuvwxyz  "
+    body = "".join(rng.choices(alphabet, k=A.CHUNK + 300_000))
+    passage = body[A.CHUNK - 150 : A.CHUNK + 150]  # stands where the text is cut
+    docs = [(1, body), (2, "x" * 70 + passage + "y" * 70), (3, body[5:400] + body[-400:])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = _brute_spans([(d, t.encode()) for d, t in docs])
+    assert want[2] >= 300 and want[3] >= 795
+    assert {r["doc_id"]: r["n_removed"] for r in S.repeat_report(df).collect()} == want
+
+
+def test_passage_in_very_many_documents(spark):
+    rng = random.Random(9)
+    say = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage = say(170)
+    docs = [(k, say(60) + passage + say(60)) for k in range(10_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(16)
+    want = _brute_spans([(d, t.encode()) for d, t in docs])
+    assert {r["doc_id"]: r["n_removed"] for r in S.repeat_report(df).collect()} == want

@@ -46,11 +46,16 @@ class Cutter:
 
         Returns (text, start, n, gram hash, segment digest); start is a place in ``data``.
         """
+        text, start, n, _, gram, digest = self.placed_runs(data, first, last)
+        return text, start, n, gram, digest
+
+    def placed_runs(self, data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+        """``runs`` with the place of the anchor in the first window, after n."""
         width = self.length - self.gram + 1
         total = np.concatenate(([np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)])))
         none = np.zeros(0, dtype=np.int64)
         if len(data) < self.length:
-            return none, none, none, none.view(np.uint64), none.view(np.uint64)
+            return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
         hashes = self._mixed((total[self.gram :] - total[: -self.gram]) * self.down[: len(data) - self.gram + 1])
         least = (hashes & ~np.uint64((1 << 22) - 1)) | np.arange(len(hashes), dtype=np.uint64)
         span = 1
@@ -65,11 +70,11 @@ class Cutter:
         text = np.repeat(np.arange(len(first)), count)
         start = np.arange(len(text)) + np.repeat(first - (np.cumsum(count) - count), count)
         if not len(start):
-            return none, none, none, none.view(np.uint64), none.view(np.uint64)
+            return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
         place = place[start]
         new = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (text[1:] != text[:-1]))))
         n = np.diff(np.append(new, len(start)))
         text, start, place = text[new], start[new], place[new]
         digest = (total[start + n - 1 + self.length] - total[start]) * self.down[start]
         digest = self._mixed(digest ^ (n.astype(np.uint64) << np.uint64(48)) ^ ((place - start).astype(np.uint64) << np.uint64(40)))
-        return text, start, n, hashes[place], digest
+        return text, start, n, place - start, hashes[place], digest
