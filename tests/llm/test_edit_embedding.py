@@ -130,3 +130,19 @@ def test_text_classes(spark):
 def test_far_hides_no_near_pair(a, at, put):
     b = a[:at] + put + a[at + len(put) // 2 :]
     assert not E.far(a, b, _levenshtein(a, b))
+
+
+def test_recall_of_pairs_near_the_limit(spark):
+    rng = random.Random(12)
+    say = lambda n: "".join(rng.choices("etaoin shrdlu", k=n))
+    docs = [(k, say(rng.choice([300, 700, 1500, 5000]))) for k in range(160)]
+    planted = set()
+    for k in range(80):
+        t = list(docs[2 * k][1])
+        for _ in range(len(t) * 3 // 100):  # about four characters in a hundred
+            t[rng.randrange(len(t))] = rng.choice(["", "x", "yz"])
+        docs.append((1000 + k, "".join(t)))
+        if E.edit_distance(docs[2 * k][1], docs[-1][1], len(t) // 20) is not None:
+            planted.add((1000 + k, 2 * k))
+    got = {(r["doc_id"], r["near_id"]) for r in E.near_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(8)).collect()}
+    assert len(planted) > 60 and len(got & planted) >= 0.9 * len(planted)

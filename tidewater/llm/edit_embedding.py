@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import small_batches, written
+from tidewater.llm.common import kept, released, small_batches, written
 
 SEED = 42
 #: Bits sampled at each scale.
@@ -39,7 +39,7 @@ BAND_BITS, BANDS = 16, 24
 BLOCK = 2048
 #: Scale from which pairs of a band go by their samples before their texts are compared, and the
 #: standard deviations by which these must agree more often than those of unrelated texts.
-FILTERED, CHANCE = 9, 3.0
+FILTERED, CHANCE = 9, 1.0
 #: Characters in the n-grams that show texts to be far apart.
 GRAM = 6
 #: Code points of texts that are walked together, about.
@@ -175,13 +175,9 @@ def bands(fingerprint: str) -> list[str]:
     return [f"{scale:x}.{k}.{np.packbits(row).tobytes().hex()}" for scale, (_, bits) in _read(fingerprint).items() for k, row in enumerate(bits[pick])]
 
 
-_EMBEDDER: list[Embedder] = []
-
-
 def _embedder() -> Embedder:
-    if not _EMBEDDER:
-        _EMBEDDER.append(Embedder())
-    return _EMBEDDER[0]
+    """The walker, which stays in the Python worker."""
+    return kept(("edit embedding",), Embedder)
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
@@ -193,7 +189,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_embedder().fingerprints([t or "" for t in b.column(1).to_pylist()]))], names=["doc_id", "fingerprint"])
 
     rows = documents.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fingerprint string")
+    return rows.mapInArrow(released(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
 #: Documents in one part of the order by doc_id, at least, and parts, at most.
@@ -294,7 +290,7 @@ def edit_report(documents: DataFrame) -> DataFrame:
                     held, size = held[-1:], 0
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.mapInArrow(released(run), f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def edit_distance(a: str, b: str, most: int) -> int | None:
@@ -427,7 +423,7 @@ def _candidates(banded: DataFrame, kind: str, share: float) -> DataFrame:
             yield batch(out)
 
     rows = rows.select("band", "part", "doc_id", "chars", "inside", "bits", "mine", "own")
-    return rows.mapInArrow(run, f"doc_id {kind}, near_id {kind}").distinct()
+    return rows.mapInArrow(released(run), f"doc_id {kind}, near_id {kind}").distinct()
 
 
 def near_documents(documents: DataFrame, share: float = 0.05) -> DataFrame:
@@ -464,7 +460,7 @@ def near_documents(documents: DataFrame, share: float = 0.05) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(names, pa.string()), chars.take(at), pa.array(inside, pa.int32()), pa.array(bits, pa.binary())], names=["doc_id", "band", "chars", "inside", "bits"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    banded = written(spark, texts.mapInArrow(explode, f"doc_id {kind}, band string, chars long, inside int, bits binary"), "edit-bands")
+    banded = written(spark, texts.mapInArrow(released(explode), f"doc_id {kind}, band string, chars long, inside int, bits binary"), "edit-bands")
     pairs = written(spark, _candidates(banded, kind, share), "edit-pairs")
     both = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("near_id"), F.col("text").alias("near_text")), "near_id")
 
@@ -475,4 +471,4 @@ def near_documents(documents: DataFrame, share: float = 0.05) -> DataFrame:
             out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d, pa.int64())], names=["doc_id", "near_id", "distance"])
             yield out.filter(pa.array([x is not None for x in d], pa.bool_()))
 
-    return both.select("doc_id", "near_id", "text", "near_text").mapInArrow(verify, f"doc_id {kind}, near_id {kind}, distance bigint")
+    return both.select("doc_id", "near_id", "text", "near_text").mapInArrow(released(verify), f"doc_id {kind}, near_id {kind}, distance bigint")
