@@ -275,3 +275,94 @@ def test_frame_verbs_equal_sql(s):
     t = s.table("lineitem").select("l_orderkey", "l_linenumber")
     both = t.alias("x").join(t.alias("y"), "x.l_orderkey", "y.l_orderkey")
     assert both.df.columns == ["l_orderkey", "l_linenumber"] * 2 and t.union(t).distinct().collect().num_rows <= t.collect().num_rows
+
+
+def test_profile_of_a_struct_with_a_map(s):
+    p = profile_frame(s.sql("SELECT named_struct('m', map('a', 1)) AS s, [named_struct('x', 2)] AS a, [map('a', 1)] AS n"))
+    assert [(c.min, c.null_count) for c in p] == [("", 0), ("[{2}]", 0), ("", 0)]
+    assert profile_frame(s.spark.range(1).select()) == []
+
+
+def test_all_reasons_are_named(s):
+    s.register_parquet("lineitem", f"{DATA}/lineitem.parquet")
+    note = next(n.note for n in report.nodes(s.sql("SELECT l_returnflag, l_linestatus, avg(l_tax), count(DISTINCT l_suppkey) FROM lineitem GROUP BY l_returnflag, l_linestatus")) if n.note)
+    assert all(code in note for code in ("[count]", "[type]", "[function]"))
+    note = next(n.note for n in report.nodes(s.sql("SELECT l_tax FROM lineitem WHERE l_tax = l_discount AND l_linenumber > 3")) if n.note)
+    assert "[shape]" in note and "[type]" in note
+
+
+def test_log_line(s, caplog):
+    with caplog.at_level("INFO", logger="tidewater"):
+        s.collect("SELECT value FROM generate_series(1, 3) WHERE value > 1")
+    assert "mode=embedded rows=2 batches=" in caplog.text and "operators=" in caplog.text
+
+
+def test_file_broken_after_registration(s, tmp_path):
+    pq.write_table(pa.table({"a": list(range(1000))}), tmp_path / "x.parquet")
+    s.register_parquet("broken_later", str(tmp_path / "x.parquet"))
+    data = (tmp_path / "x.parquet").read_bytes()
+    (tmp_path / "x.parquet").write_bytes(data[: len(data) // 2])
+    with pytest.raises(EngineError) as e:
+        s.collect("SELECT sum(a) AS n FROM broken_later")
+    assert e.value.kind == "format"
+
+
+def test_tables_of_other_formats(s, tmp_path):
+    (tmp_path / "c.csv").write_text("k,v\n1,2.5\n2,x y\n")
+    (tmp_path / "j.json").write_text('{"k": 1, "l": [1, 2]}\n{"k": 3}\n')
+    s.sql(f"CREATE EXTERNAL TABLE c STORED AS CSV LOCATION '{tmp_path}/c.csv'")
+    s.sql(f"CREATE EXTERNAL TABLE j STORED AS JSON LOCATION '{tmp_path}/j.json'")
+    assert s.collect("SELECT c.k + 1 AS n, v, l[2] AS e FROM c LEFT JOIN j ON c.k = j.k ORDER BY c.k").to_pylist() == [{"n": 2, "v": "2.5", "e": 2}, {"n": 3, "v": "x y", "e": None}]
+
+
+def test_created_table_is_a_snapshot(s, tmp_path):
+    s.spark.range(4).write.parquet(f"{tmp_path}/t")
+    s.register_parquet("t4", f"{tmp_path}/t")
+    s.sql("CREATE TABLE kept4 AS SELECT id FROM t4")
+    s.spark.range(9).write.mode("overwrite").parquet(f"{tmp_path}/t")
+    assert s.sql("SELECT count(*) AS n FROM kept4").first()["n"] == 4
+
+
+def test_written_again_keeps_the_old_until_the_new_is_there(s, tmp_path):
+    parquet.write_parquet(s.spark.range(3), f"{tmp_path}/x")
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        parquet.write_parquet(s.sql("SELECT 1 / (value - 1) AS y FROM generate_series(0, 2)"), f"{tmp_path}/x")
+    assert s.spark.read.parquet(f"{tmp_path}/x").count() == 3
+
+
+def test_scan_summary(s, tmp_path):
+    parquet.write_parquet(s.spark.range(1000), f"{tmp_path}/x")
+    found = parquet.scan_summary(s.spark.read.parquet(f"{tmp_path}/x").where("id >= 0"))
+    assert found.rows == 1000 and found.files >= 1 and found.bytes > 0
+
+
+@pytest.mark.parametrize("name", sorted(predict.ACTIVATIONS))
+def test_activations(s, tmp_path, name):
+    layers = [(np.eye(3), np.zeros(3)), (np.eye(3), np.zeros(3))]
+    path = _model_file(tmp_path / "a.safetensors", layers, {"activation": name})
+    x = [-1.5, 0.0, 2.0]
+    got = s.sql(f"SELECT predict('{path}', [{', '.join(f'CAST({v} AS FLOAT)' for v in x)}]) AS y").first()["y"]
+    plain = {"relu": lambda v: max(v, 0), "gelu": lambda v: v * 0.5 * (1 + math.erf(v / math.sqrt(2))), "sigmoid": lambda v: 1 / (1 + math.exp(-v)), "tanh": math.tanh, "none": lambda v: v}[name]
+    assert np.allclose(got, [plain(v) for v in x], atol=1e-6)
+
+
+def test_strict_and_plain_sums(spark, s):
+    rows = "(VALUES (9223372036854775807, 0.5::double), (1, '-0.0'::double), (5, '0.0'::double)) AS v(x, y)"
+    with pytest.raises(EngineError, match="OVERFLOW"):
+        s.collect(f"SELECT sum(x) AS n FROM {rows}")
+    strict_ = Session(spark, SessionOptions(strict=True))
+    got = strict_.collect(f"SELECT sum(x) AS n, sum(x) FILTER (WHERE y > 0) AS f, min(y) AS lo FROM {rows}").to_pylist()[0]
+    assert (got["n"], got["f"], _bits(got["lo"])) == (-(2**63) + 5, 2**63 - 1, _bits(-0.0))
+
+
+def test_division_by_types(s):
+    got = s.collect("WITH h AS (SELECT value / 2 AS q, value AS v FROM generate_series(1, 5)) SELECT sum(q) AS a, max(v) / 2 / 2 AS b, (SELECT max(v) / 3 FROM h) AS c, sum(v) / 2.0 AS d, 7::double / 2 AS e, '1/2' AS f FROM h").to_pylist()[0]
+    assert (got["a"], got["b"], got["c"], float(got["d"]), got["e"], got["f"]) == (6, 1, 1, 7.5, 3.5, "1/2")
+
+
+def test_costly_arguments_are_read_once(s):
+    from tidewater.plans.dialect import to_spark
+
+    assert to_spark("SELECT array_slice(f(a), -2, -1) FROM t").count("f(a)") == 1
+    assert to_spark("SELECT l2_distance(f(a), b) FROM t").count("f(a)") == 1
+    assert s.collect("SELECT trunc(1.9 + 1) AS t, gcd(3 * 4, 9 + 9) AS g").to_pylist() == [{"t": 2.0, "g": 6}]

@@ -148,7 +148,7 @@ class Session:
             if kind == "parquet":
                 self.register_parquet(f'"{name}"', path)
             else:
-                self._name(f'"{name}"', self.spark.read.format(kind).option("header", "true").load(path))
+                self._name(f'"{name}"', self.spark.read.format(kind).options(header="true", inferSchema="true").load(path))
             return self.spark.createDataFrame([], "name string")
         if create := dialect.create_statement(query):
             self._name(f'"{create[0]}"', self._snapshot(self._sql(create[1])))
