@@ -19,12 +19,11 @@ segment of its own, and distinct segments are searched once for each worker.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewater.llm.common import small_batches
+from tidewater.llm.common import kept, released, small_batches
 
 SPACE = "▁"
 #: What an unknown character scores below the lowest piece.
@@ -67,42 +66,42 @@ class CountModel:
             if piece:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.longest = max(map(len, self.scores), default=1)
         self.splits = SPACE in self.scores and not any(SPACE in p.lstrip(SPACE) for p in self.scores if p.strip(SPACE))
         self.known: dict[str, int] = {}
 
     def search(self, text: str) -> int:
-        """The number of pieces of the best segmentation."""
-        n = len(text)
+        """The number of pieces of the best segmentation; what is held is as long as the longest piece."""
+        n, ring = len(text), self.longest + 1
         if not n:
             return 0
-        best: list[float | None] = [None] * (n + 1)
-        count = [0] * (n + 1)  # pieces, an open run of unknowns not yet counted
-        run = [0] * (n + 1)  # bytes of the unknown run that ends here
-        best[0] = 0.0
-        ends: dict[int, list[tuple[int, float]]] = {}
-        for last, found in self.automaton.iter(text):
-            ends.setdefault(last + 1, []).append(found)
+        best, count = [0.0] * ring, [0] * ring  # pieces, an open run of unknowns not yet counted
+        run = [0] * ring  # bytes of the unknown run that ends here
+        matches = self.automaton.iter(text)
+        last, found = next(matches, (n, None))
         unknown, cost = self.unknown, self._run_cost
         for end in range(1, n + 1):
             top = at = None
             single = False
             # matches come from the longest to the shortest, as the automaton follows its suffix links
-            for size, score in ends.get(end, ()):
+            while last < end:
+                size, score = found
                 single |= size == 1
-                total = best[end - size] + score
+                total = best[(end - size) % ring] + score
                 if top is None or total > top:
-                    top, at = total, end - size
+                    top, at = total, (end - size) % ring
+                last, found = next(matches, (n, None))
+            now, before = end % ring, (end - 1) % ring
             if not single:
-                total = best[end - 1] + unknown
+                total = best[before] + unknown
                 if top is None or total > top:
                     top, at = total, -1
-            best[end] = top
             if at == -1:
-                count[end] = count[end - 1]
-                run[end] = run[end - 1] + len(text[end - 1].encode("utf-8"))
+                count[now], run[now] = count[before], run[before] + len(text[end - 1].encode("utf-8"))
             else:
-                count[end] = count[at] + cost(run[at]) + 1
-        return count[n] + cost(run[n])
+                count[now], run[now] = count[at] + cost(run[at]) + 1, 0
+            best[now] = top
+        return count[n % ring] + cost(run[n % ring])
 
     def _run_cost(self, size: int) -> int:
         return (size if self.bytes_known else 1) if size else 0
@@ -135,9 +134,9 @@ class CountModel:
         return total
 
 
-@cache
 def _model(model_file: str) -> CountModel:
-    return CountModel(read_pieces(model_file))
+    """The model; the last one stays in the Python worker."""
+    return kept(("token counts", model_file), lambda: CountModel(read_pieces(model_file)))
 
 
 def token_counts(documents: DataFrame, model_file: str | None = None) -> DataFrame:
@@ -157,4 +156,4 @@ def token_counts(documents: DataFrame, model_file: str | None = None) -> DataFra
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.count(t) for t in b.column(1).to_pylist()], pa.int64())], names=["doc_id", "n_tokens"])
 
     rows = documents.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens bigint")
+    return rows.mapInArrow(released(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens bigint")
