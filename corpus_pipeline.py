@@ -18,27 +18,36 @@ from tidewater.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.5 or more go; the model learns from ``labels`` and these documents."""
+    """Documents that score 0.5 or more go; the model learns from ``labels`` and these documents.
+
+    Null and empty texts are clean unless every label is toxic; repeated rows stay or go together.
+    """
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand in ten documents or more stay in the first only."""
+    """Lines that stand in ten documents or more stay in the first only, by doc_id, null first.
+
+    Empty lines and null texts stay as they are; a text may lose all its lines and is empty then.
+    """
     return drop_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays."""
+    """One document of each SimHash component stays: the smallest doc_id, null ids last.
+
+    All texts without words, null ones too, are one component; of rows alike in doc_id and text one stays.
+    """
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go; shorter leaks are cut from the text."""
+    """Contaminated documents go; shorter leaks are cut from the text. Null and empty texts stay."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents that are left, with their places in sequences."""
+    """The pieces of the documents that are left, with their places in sequences; an empty text is one id."""
     return pack(docs)
 
 
@@ -55,7 +64,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
