@@ -54,3 +54,36 @@ def test_each_stage_works_on_what_the_last_kept(spark, tmp_path):
     whole = C.run(spark, str(tmp_path))
     same = lambda rows: sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in rows)
     assert same(whole.collect()) == same(packed)
+
+
+def _stages(spark, tmp_path, rows, schema):
+    """The rows after each stage, over a table that need not be clean."""
+    spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "one two three"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now, out = spark.createDataFrame(rows, schema), {}
+    for name, stage in C.STAGES:
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        out[name] = now.collect()
+    return out
+
+
+def test_nulls_empty_texts_and_repeated_rows(spark, tmp_path):
+    rng = random.Random(3)
+    say = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    own = [say(40) for _ in range(30)]
+    rows = [(k, t, "x", "y", "z") for k, t in enumerate(own)]
+    rows += [(100, None, None, None, None), (None, say(50), "a", None, "c"), (None, say(50), "b", None, "c"), (3, own[3], "x", "y", "z"), (200, "", "", "", "")]
+    schema = "doc_id long, text string, `_null` string, `gone_id` string, `_lines` string"
+    out = _stages(spark, tmp_path, rows, schema)
+    assert len(out["toxicity"]) == len(out["line_dedup"]) == len(rows)
+    texts = [r["text"] for r in out["near_dedup"]]
+    # null and empty texts have one fingerprint, so one of them stays; of rows alike one stays; rows without an id stay
+    assert sum(not t for t in texts) == 1 and sorted(t for t in texts if t) == sorted({t for _, t, *_ in rows if t})
+    assert {r["_null"] for r in out["decontamination"] if r["doc_id"] is None} == {"a", "b"}
+    assert len({(r["doc_id"], r["ids_crc32"]) for r in out["packing"]}) == len(out["decontamination"])
+
+
+def test_empty_table(spark, tmp_path):
+    out = _stages(spark, tmp_path, [], "doc_id long, text string, n_chars long")
+    assert all(rows == [] for rows in out.values())

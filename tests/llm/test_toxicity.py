@@ -1,4 +1,7 @@
+import math
 import random
+import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -58,3 +61,40 @@ def test_odd_rows(spark):
     assert len(rows) == 4 and all(r["predicted"] == 0 and 0 <= r["score"] < 0.5 for r in rows)
     assert T.drop_toxic(docs, none).columns == docs.columns
     assert T.drop_toxic(docs, none).count() == 4 and T.drop_toxic(docs.limit(0), none).count() == 0
+
+
+def _labelled(spark, flip=()):
+    rng = random.Random(11)
+    say = lambda n: " ".join(f"w{rng.randrange(400)}" for _ in range(n))
+    docs = [(k, say(30) + (". you vile toad! " if k % 4 == 0 else ". ") + say(10)) for k in range(300)]
+    docs += [(1000, None), (1001, ""), (None, "you vile toad")]
+    labels = [(k, int(k % 4 == 0) ^ int(k in flip)) for k in range(300)]
+    return docs, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_held_out_labels_teach_nothing(spark):
+    held = {k for k in range(300) if zlib.crc32(str(k).encode()) % 5 == 0}
+    _, df, labels = _labelled(spark)
+    rows = {r["doc_id"]: r for r in T.toxicity_report(df, labels).collect()}
+    assert {k for k in range(300) if rows[k]["held_out"]} == held and not rows[None]["held_out"]
+    _, df, others = _labelled(spark, held)
+    assert {d: r["score"] for d, r in rows.items()} == {r["doc_id"]: r["score"] for r in T.toxicity_report(df, others).collect()}
+    assert all(r["predicted"] == int(r["score"] >= 0.5) for r in rows.values())
+
+
+def test_scores_by_plain_arithmetic(spark):
+    docs, df, labels = _labelled(spark)
+    model = T.train(df, labels)
+    assert model.weights
+
+    def plain(text):
+        stays = 1.0
+        for part in re.split(r"(?<=[.!?])\s+|\n+", text or "") or [""]:
+            words = set(re.findall(r"[0-9a-z\x80-\U0010ffff]+", part.lower()))
+            if part or not text:
+                z = model.bias + sum(model.weights.get(f, 0.0) for w in words for f in [w.encode(), *((w[:n] + "*").encode() for n in T.PREFIXES if n <= len(w))])
+                stays *= 1 - 1 / (1 + math.exp(-z))
+        return 1 - stays
+
+    got = {r["doc_id"]: r["score"] for r in T.scored(df, model).collect()}
+    assert all(abs(got[d] - plain(t)) < 1e-9 for d, t in docs)

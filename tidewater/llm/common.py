@@ -73,7 +73,6 @@ def released(run: Callable) -> Callable:
 
 def release() -> None:
     """Return what is free to the system, where its C library can."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)
@@ -90,6 +89,7 @@ def kept(key, make: Callable):
     """
     if key not in _KEPT:
         _KEPT.clear()
+        gc.collect()
         release()
         _KEPT[key] = make()
     return _KEPT[key]

@@ -14,18 +14,18 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import small_batches
+from tidewater.llm.common import forget, kept, released, small_batches, written
 
 #: Consecutive item words that make a window.
 WINDOW = 13
-#: Bytes of item text in one automaton; larger benchmarks take several, one after the other.
+#: Bytes of item text in one automaton; larger benchmarks take several passes.
 SHARD_BYTES = 4_000_000
 
 # A word is a run of these bytes (digits, a-z, anything beyond ASCII), A-Z lower-cased first.
@@ -189,30 +189,22 @@ def add_span(spans: list[list[int]], start: int, end: int) -> None:
     spans.append([start, end])
 
 
-_BUILT: dict[str, SuffixAutomaton] = {}
-
+_SPANS = pa.list_(pa.int64())
 
-def _automaton(key: str, shard, window: int) -> SuffixAutomaton:
-    """A shard's automaton, built once in each Python worker."""
-    if key not in _BUILT:
-        if len(_BUILT) >= 2:
-            _BUILT.clear()
-        _BUILT[key] = SuffixAutomaton([(name, words_of(text)) for name, text in shard.value], window)
-    return _BUILT[key]
 
+def _automaton(key: str, shard: list, window: int) -> SuffixAutomaton:
+    """A shard's automaton; the last one stays in the Python worker."""
+    return kept(("decontamination", key, window), lambda: SuffixAutomaton([(name, words_of(text)) for name, text in shard], window))
 
-_SPANS = pa.list_(pa.int64())
 
-
-def _shards(spark: SparkSession, benchmark: DataFrame, shard_bytes: int) -> list:
-    """Broadcasts of (item, text), each of at most ``shard_bytes`` of text, or of one item."""
+def _shards(benchmark: DataFrame, shard_bytes: int) -> Iterator[list]:
+    """(item, text) of each shard: about ``shard_bytes`` of text at most, or one item."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("body")).where("body is not null")
     size = items.agg(F.sum(F.octet_length("body") + 16)).first()[0] or 0
-    n = max(1, -(-size // shard_bytes) * 2 if size > shard_bytes else 1)
-    if n == 1:
-        return [spark.sparkContext.broadcast([tuple(r) for r in items.collect()])]
+    n = -(-size // shard_bytes) * 2 if size > shard_bytes else 1
     part = F.pmod(F.xxhash64("item", "body"), F.lit(n))
-    return [spark.sparkContext.broadcast([tuple(r) for r in items.where(part == k).collect()]) for k in range(n)]
+    for k in range(n):
+        yield [tuple(r) for r in (items if n == 1 else items.where(part == k)).collect()]
 
 
 def matched(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, text: bool = True) -> DataFrame:
@@ -220,26 +212,39 @@ def matched(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
 
     Returns, for each row: doc_id, text (unless ``text`` is false), n_words,
     spans (flat start, end word positions, apart and ascending) and items
-    (ids of items with an occurring window, as strings, sorted). No shuffle:
-    each shard is one pass over the rows in the same task.
+    (ids of items with an occurring window, as strings, sorted). No shuffle.
 
     Null or empty texts have no words and no hits; items without words have no
     windows; an item with a null id hits words but isn't named; repeated rows
     are matched each on its own; other columns are left out.
     """
-    spark = documents.sparkSession
-    small_batches(spark)
+    small_batches(documents.sparkSession)
     out = documents.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    out = _through(out, benchmark, window, shard_bytes)
-    return out if text else out.drop("text")
+    names = [c for c in out.columns if text or c != "text"]
+    return _through(out, benchmark, window, shard_bytes, lambda b: b.select(names), out.select(*names).schema)
+
 
+def _through(df: DataFrame, benchmark: DataFrame, window: int, shard_bytes: int, last: Callable, schema) -> DataFrame:
+    """``df`` after one pass for each shard, which adds to its spans, items and n_words; ``last`` ends the last pass.
 
-def _through(df: DataFrame, benchmark: DataFrame, window: int, shard_bytes: int) -> DataFrame:
-    """``df`` after one pass for each shard; a pass adds to its spans, items and n_words."""
-    app = df.sparkSession.sparkContext.applicationId
-    for shard in _shards(df.sparkSession, benchmark, shard_bytes):
-        df = df.mapInArrow(_pass(shard, f"{app}-{shard._jbroadcast.id()}-{window}", window), df.schema)
-    return df
+    One automaton is in a worker and one shard's items are broadcast at a
+    time: after a pass that isn't the last, the rows are written and read again.
+    """
+    spark, before = df.sparkSession, None
+    every = _shards(benchmark, shard_bytes)
+    shard = next(every)
+    while shard is not None:
+        following = next(every, None)
+        shared = spark.sparkContext.broadcast(shard)  # about ``shard_bytes``
+        key = f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id()}"
+        if following is None:
+            return df.mapInArrow(released(_pass(shared, key, window, last)), schema)
+        df = written(spark, df.mapInArrow(released(_pass(shared, key, window, lambda b: b)), df.schema), "decontamination-pass")
+        shared.destroy()
+        if before is not None:
+            forget(before)
+        shard = following
+        before = df
 
 
 def _merged(old: list[int], hit: list[list[int]]) -> list[int]:
@@ -254,20 +259,20 @@ def _merged(old: list[int], hit: list[list[int]]) -> list[int]:
     return [x for s in hit for x in s]
 
 
-def _pass(shard, key: str, window: int):
+def _pass(shard, key: str, window: int, last: Callable):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = _automaton(key, shard, window)
+        auto = _automaton(key, shard.value, window)
         for batch in batches:
             n, spans, items = [], [], []
-            for text, old, named in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "items")), strict=True):
-                words = words_of(text)
+            for text, old, named in zip(*(batch.column(c) for c in ("text", "spans", "items")), strict=True):
+                words = words_of(text.as_py())
                 hit, found = auto.match(words)
                 n.append(len(words))
-                spans.append(_merged(old, hit))
-                items.append(sorted({*named, *(x for x in found if x is not None)}) if found else named)
+                spans.append(_merged(old.as_py(), hit))
+                items.append(sorted({*named.as_py(), *(x for x in found if x is not None)}) if found else named.as_py())
             for name, values in (("n_words", pa.array(n, pa.int64())), ("spans", pa.array(spans, _SPANS)), ("items", pa.array(items, pa.list_(pa.string())))):
                 batch = batch.set_column(batch.schema.get_field_index(name), name, values)
-            yield batch
+            yield last(batch)
 
     return run
 
@@ -316,31 +321,33 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     small_batches(spark)
     names = documents.columns
+    rest = [F.col(f"`{c}`") for c in names if c != "text"]
     row = documents.select(
-        "doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
-        F.lit(0).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("spans"), F.array().cast("array<string>").alias("items"),
+        "doc_id", "text", F.struct(*rest).alias("row"), F.lit(0).cast("long").alias("n_words"),
+        F.array().cast("array<bigint>").alias("spans"), F.array().cast("array<string>").alias("items"),
     )
-    found = _through(row, benchmark, WINDOW, SHARD_BYTES)
-    kept = found.where(~contaminated(n_hit(F.col("spans")), F.col("n_words"))).mapInArrow(_cut, row.select("text", "row").schema)
+    stays = _through(row, benchmark, WINDOW, SHARD_BYTES, _cut, row.select("text", "row", F.lit(True).alias("changed")).schema)
     fields = []
     for c in names:
-        col = F.col("row").getField(c)
-        if c == "text":
-            col = F.col("text")
-        elif c == "n_chars":
-            col = F.when(F.col("row").getField("text") == F.col("text"), col).otherwise(F.char_length("text").cast(documents.schema[c].dataType))
+        col = F.col("text") if c == "text" else F.col("row").getField(c)
+        if c == "n_chars":
+            col = F.when(F.col("changed"), F.char_length("text").cast(documents.schema[c].dataType)).otherwise(col)
         fields.append(col.alias(c))
-    return kept.select(*fields)
-
-
-def _cut(batches):
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for k, spans in enumerate(batch.column("spans").to_pylist()):
-            if spans:
-                texts[k] = cut_words(texts[k], spans)
-        batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, batch.schema.field("text").type))
-        yield batch.select(["text", "row"])
+    return stays.select(*fields)
+
+
+def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """text, row and changed of the rows that aren't contaminated, hit words cut from their texts."""
+    texts, stay, changed = [], [], []
+    for k, (text, n, spans) in enumerate(zip(*(batch.column(c) for c in ("text", "n_words", "spans")), strict=True)):
+        text, spans = text.as_py(), spans.as_py()
+        hit = sum(spans[1::2]) - sum(spans[::2])
+        if not (hit and 20 * hit >= n.as_py()):
+            stay.append(k)
+            texts.append(cut_words(text, spans) if spans else text)
+            changed.append(bool(spans))
+    row = batch.column("row").take(pa.array(stay, pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), row, pa.array(changed, pa.bool_())], names=["text", "row", "changed"])
 
 
 def sha256_names(names: list[str]) -> str:

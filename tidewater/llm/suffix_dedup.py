@@ -511,12 +511,18 @@ def _texts(documents: DataFrame) -> DataFrame:
 
 
 def cut_repeats(documents: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay)."""
+    """``repeat_report`` with the bytes that stay, kept, instead of their hash."""
     return _removed(documents, True)
 
 
 def repeat_report(documents: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; null texts are empty."""
+    """One row per row of ``documents``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    Null texts are empty; texts under 100 bytes keep all. The first of two
+    equal strings is that of the smaller doc_id, null before all, and of rows
+    of one id that of the smaller text hash; rows alike in both are one
+    document and keep the same. An empty table gives no rows.
+    """
     return _removed(documents, False)
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import small_batches, written
+from tidewater.llm.common import forget, released, small_batches, written
 from tidewater.llm.decontaminate import words_of
 
 #: Labelled rows that the fit reads, at most.
@@ -155,16 +155,16 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     """Fit on at most ``sample`` labelled rows outside the held-out fold.
 
     A doc_id with several labels counts as toxic if one says so; null labels
-    and ids are left out; of repeated documents one is read.
+    and ids are left out; of texts with one id the least is read.
     """
     spark = documents.sparkSession
     small_batches(spark)
     rows = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where(~held_out(F.col("doc_id")) & F.col("label").isNotNull() & F.col("doc_id").isNotNull())
     chosen = rows.groupBy("doc_id").agg((F.max("label") > 0).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # of bounded size: `sample` rows of two numbers
-    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "label")
+    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).select("text", "label")
     texts = written(spark, texts, "toxicity-sample")
-    counts = texts.mapInArrow(_count_features, "feature binary, n bigint, n_toxic bigint").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
+    counts = texts.mapInArrow(released(_count_features), "feature binary, n bigint, n_toxic bigint").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
     counts = written(spark, counts.where(F.col("n") >= LEAST_DOCS), "toxicity-features")
     n, toxic = texts.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     rate = toxic / n if n else 0
@@ -185,7 +185,10 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(plain, pa.int64()), pa.array(out, pa.list_(pa.list_(pa.int32())))], names=["label", "plain", "bag"])
 
     # rows of the sample, with the few words that have a feature
-    return fit(names, [tuple(r) for r in texts.mapInArrow(run, "label int, plain bigint, bag array<array<int>>").toLocalIterator()])
+    bags = [tuple(r) for r in texts.mapInArrow(released(run), "label int, plain bigint, bag array<array<int>>").toLocalIterator()]
+    place.destroy()
+    forget(texts, counts)
+    return fit(names, bags)
 
 
 def bag_of(sentence: str, find) -> list[int]:
@@ -215,7 +218,7 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # at most FEATURES words
     rows = documents.select("doc_id", "text")
-    return rows.mapInArrow(_scores(shared, rows.columns), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, n_sentences bigint, offending array<bigint>").select("doc_id", "score", "n_sentences", "offending")
+    return rows.mapInArrow(released(_scores(shared, rows.columns)), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, n_sentences bigint, offending array<bigint>").select("doc_id", "score", "n_sentences", "offending")
 
 
 def _scores(shared, names):
@@ -234,13 +237,22 @@ def _scores(shared, names):
 
 
 def toxicity_report(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted, n_sentences, n_offending."""
+    """One row per row of ``documents``: doc_id, held_out, score, predicted, n_sentences, n_offending.
+
+    Null and empty texts are one empty sentence and score what that scores; a
+    null id is in no fold; repeated rows are scored each; an empty table gives
+    no rows. Labels of no or one kind give all documents one score.
+    """
     out = scored(documents, train(documents, labels))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", (F.size("offending") / 2).cast("long").alias("n_offending"))
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that score under 0.5, with their columns."""
+    """The rows of ``documents`` that score under 0.5, with their columns, whatever these are called.
+
+    Null and empty texts go by the score of an empty sentence, which stays
+    unless all labels are toxic; repeated rows stay or go together.
+    """
     spark = documents.sparkSession
     model = train(documents, labels)
     small_batches(spark)
@@ -252,4 +264,4 @@ def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             yield b.filter(pa.array([noisy_or(scorer.logits(t)[1]) < 0.5 for t in texts], pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(released(run), documents.schema)
