@@ -68,3 +68,26 @@ def test_native(spark):
     df = spark.createDataFrame([(1, "a\nb")], "doc_id long, text string")
     plan = L.line_report(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_code_and_sql_agree_on_documents(spark, tmp_path):
+    docs = [(7, f"one line\nown {k}") for k in range(12)] + [(None, "one line\nno id"), (None, None), (8, "one line")]
+    docs += [(20 + k, "two\none more") for k in range(8)] + [(None, "two"), (30, "two \n"), (30, "TWO")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    df.write.parquet(f"{tmp_path}/d")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/d/*.parquet')")
+    order = lambda rows: sorted((tuple(r) for r in rows), key=str)
+    want = order(con.execute(f"select doc_id, n_lines, n_dropped, kept_sha256 from ({L.ORACLE_SQL})").fetchall())
+    got = order(L.line_report(df).collect())
+    assert got == want
+    # twelve rows of one id are one document; eight ids, a null one and one id twice are ten
+    assert all(r[2] == 0 for r in got if r[0] in (7, 8)) and all(r[2] == 1 for r in got if r[0] in (20, 27, 30))
+
+
+def test_first_occurrences_stream_out_of_the_range_partitioned_order(spark):
+    lines = spark.range(1000).selectExpr("id % 7 AS h1", "id % 7 AS h2", "id % 50 AS doc_id", "1L AS text_hash", "cast(id AS int) AS pos")
+    df = L.first_in_documents(lines)
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange rangepartitioning") == 1 and "hashpartitioning" not in plan
+    assert df.count() == 350
