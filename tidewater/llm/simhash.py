@@ -3,9 +3,10 @@
 Fingerprints that differ in at most ``RADIUS`` of 64 bits agree on at least one
 of ``RADIUS + 1`` blocks of bits, so each distinct fingerprint goes to one
 shard for each block and a shard holds those that agree there. A shard of more
-than ``SHARD`` fingerprints is dealt out again by blocks of its other bits;
-one that is still larger (a dense ball of fingerprints) is cut into parts, and
-each two parts meet in one task. So no shard is cut off and none is large.
+than ``SHARD`` fingerprints is dealt out again by blocks of its other bits, and
+again while it is too large: every round leaves a quarter of the bits less to
+differ in, so a few rounds make any shard small, however dense the
+fingerprints lie, and rows grow by a constant at most.
 Each shard's fingerprints go into a BK-tree, whose children are keyed by their
 Hamming distance to the parent; a search follows only edges within the radius.
 A shard gives one edge per fingerprint to the root of its group there, never
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import small_batches, written
+from tidewater.llm.common import forget, released, small_batches, written
 
 RADIUS = 3
 #: Words in a shingle.
@@ -70,7 +71,7 @@ def fingerprints(documents: DataFrame, text_hash: bool = False) -> DataFrame:
 
     rows = documents.select("doc_id", "text", *[F.xxhash64("text").alias("text_hash")] * text_hash)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, fp bigint" + ", text_hash bigint" * text_hash)
+    return rows.mapInArrow(released(run), f"doc_id {kind}, fp bigint" + ", text_hash bigint" * text_hash)
 
 
 class BKTree:
@@ -146,13 +147,8 @@ def _blocks(bits: list[int], n: int) -> list[tuple[int, ...]]:
     return out
 
 
-def _mask(bits) -> int:
-    m = sum(1 << b for b in bits)
-    return m - (1 << 64) if m >> 63 else m
-
-
 def _edges_of_shards(rows: DataFrame, radius: int) -> DataFrame:
-    """Edges of the shards (fp, used, key, part); streams shard after shard, each of bounded size."""
+    """Edges of the shards (fp, used, key); streams shard after shard, each of bounded size."""
 
     def batch(found):
         return pa.RecordBatch.from_arrays([pa.array(np.array([x[i] for x in found], dtype=np.uint64).view(np.int64)) for i in (0, 1)], names=["a", "b"])
@@ -161,7 +157,7 @@ def _edges_of_shards(rows: DataFrame, radius: int) -> DataFrame:
         now, values, found = None, [], []
         for b in batches:
             fp = b.column(0).to_numpy().view(np.uint64).tolist()
-            for key, v in zip(zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True), fp, strict=True):
+            for key, v in zip(zip(*(b.column(i).to_pylist() for i in (1, 2)), strict=True), fp, strict=True):
                 if key != now:
                     if len(values) > 1:
                         found += group_edges(values, radius)
@@ -174,46 +170,53 @@ def _edges_of_shards(rows: DataFrame, radius: int) -> DataFrame:
             found += group_edges(values, radius)
         yield batch(found)
 
-    keys = ["used", "key", "part"]
-    return rows.select("fp", *keys).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint")
+    keys = ["used", "key"]
+    return rows.select("fp", *keys).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(released(run), "a bigint, b bigint")
 
 
-def _dealt(rows: DataFrame, kinds: list[list[int]], radius: int) -> tuple[DataFrame, list[list[int]]]:
-    """Deal each row (fp, used) to the blocks of the bits its shard kind has left."""
-    masks, after = [], []
-    for bits in kinds:
-        rest = [[b for b in bits if b not in block] for block in _blocks(bits, radius + 1)]
-        masks.append((_mask(set(range(64)) - set(bits)), [_mask(set(range(64)) - set(r)) for r in rest]))
-        after += rest
-    choice = F.create_map(*[x for used, to in masks for x in (F.lit(used).cast("long"), F.array(*[F.lit(m).cast("long") for m in to]))])
-    out = rows.select("fp", F.explode(F.element_at(choice, F.col("used"))).alias("used"))
-    return out.withColumn("key", F.col("fp").bitwiseAND(F.col("used"))), after
+def _dealt(rows: DataFrame, radius: int) -> DataFrame:
+    """(fp, used, key): each row (fp, used) dealt to the blocks of the bits that its shard has not used yet.
+
+    ``used`` is a mask of the bits on which the shard agrees, key what they are.
+    """
+
+    def run(batches):
+        for b in batches:
+            fp, used = (b.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+            out = [[], [], []]
+            for mask in np.unique(used).tolist():
+                mine = fp[used == mask]
+                for block in _blocks([k for k in range(64) if not mask >> k & 1], radius + 1):
+                    now = np.uint64(mask | sum(1 << k for k in block))
+                    for col, x in zip(out, (mine, np.full(len(mine), now), mine & now), strict=True):
+                        col.append(x.view(np.int64))
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(col)) for col in out], names=["fp", "used", "key"])
+
+    return rows.select("fp", "used").mapInArrow(released(run), "fp bigint, used bigint, key bigint")
 
 
 def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """Edges (a, b) with b < a unsigned, whose components are those of all links.
+    """Edges (a, b) whose components are those of all links.
 
     ``fps`` holds distinct fingerprints, fp.
     """
-    spark = fps.sparkSession
-    rows, kinds, parts = fps.select("fp", F.lit(0).cast("long").alias("used")), [list(range(64))], []
-    for last in (False, True):
-        dealt, kinds = _dealt(rows, kinds, radius)
+    spark, parts = fps.sparkSession, []
+    rows, left = fps.select("fp", F.lit(0).cast("long").alias("used")), 64 - F.bit_count("used")
+    while True:
+        dealt = _dealt(rows, radius)
         # at most (all rows) / shard keys are large; Spark chooses the join by their size
         large = written(spark, dealt.groupBy("used", "key").agg(F.count("*").alias("n")).where(F.col("n") > shard), "simhash-large")
         if large.isEmpty():
-            parts.append(_edges_of_shards(dealt.withColumn("part", F.lit(0).cast("long")), radius))
+            parts.append(_edges_of_shards(dealt, radius))
             break
-        parts.append(_edges_of_shards(dealt.join(large, ["used", "key"], "left_anti").withColumn("part", F.lit(0).cast("long")), radius))
-        again = dealt.join(large, ["used", "key"])
-        if last:
-            n = F.ceil(2 * F.col("n") / F.lit(shard))
-            mine = F.pmod(F.xxhash64("fp"), n)
-            again = again.withColumn("n_parts", n).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1)))
-            part = F.least("mine", "other") * F.col("n_parts") + F.greatest("mine", "other")
-            parts.append(_edges_of_shards(again.withColumn("part", part), radius))
-        else:
-            rows = written(spark, again.select("fp", "used").distinct(), "simhash-again")
+        parts.append(_edges_of_shards(dealt.join(large, ["used", "key"], "left_anti"), radius))
+        again = written(spark, dealt.join(large, ["used", "key"], "left_semi").select("fp", "used", "key").distinct(), "simhash-again")
+        # with no more bits left than the radius all link with the least
+        alike = again.where(left <= radius)
+        least = alike.groupBy("used", "key").agg(F.min("fp").alias("b"))
+        parts.append(alike.join(least, ["used", "key"]).where("fp <> b").select(F.col("fp").alias("a"), "b"))
+        rows = again.where(left > radius)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionAll(part)
@@ -236,7 +239,8 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(low.select("a", F.col("m").alias("b")).where("a <> b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-        pairs = written(spark, small, name)
+        last, pairs = pairs, written(spark, small, name)
+        forget(last)
         now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -288,7 +292,7 @@ def one_of_each(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows = documents.join(few, documents["doc_id"].eqNullSafe(few["gone_id"]) & (F.xxhash64(documents["text"]) == few["gone_hash"]), "left_anti")
     if counts.where("n > 1").join(kept, is_kept, "left_semi").isEmpty():
         return rows
-    same = "simhash text"
+    same = max(documents.columns, key=len) + "_hash"  # none of the table's own
     return rows.withColumn(same, F.xxhash64("text")).dropDuplicates(["doc_id", same]).drop(same)
 
 
