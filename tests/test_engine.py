@@ -366,3 +366,9 @@ def test_costly_arguments_are_read_once(s):
     assert to_spark("SELECT array_slice(f(a), -2, -1) FROM t").count("f(a)") == 1
     assert to_spark("SELECT l2_distance(f(a), b) FROM t").count("f(a)") == 1
     assert s.collect("SELECT trunc(1.9 + 1) AS t, gcd(3 * 4, 9 + 9) AS g").to_pylist() == [{"t": 2.0, "g": 6}]
+
+
+def test_commands_run_once(s):
+    s.sql("CREATE TEMPORARY VIEW halves AS SELECT value / 2.0 AS h FROM range(0, 3)")
+    assert s.collect("SELECT sum(h) AS n FROM halves").num_rows == 1
+    s.sql("DROP VIEW halves")
