@@ -5,7 +5,8 @@ other: the words around known entities are lexical patterns; a pattern is worth
 the share of its tokens that are known or trusted; a token is worth the noisy-or
 of its patterns; and so on for ``ROUNDS`` rounds over counts of (pattern, token)
 pairs. Known are whole base matches, drawn out to white space, with what stands
-around them. Tokens of an identifier's shape, and runs of numbers for phones and
+around them; long hexadecimal keys are seeds of a kind of their own, ``secret``,
+and spans of that kind. Tokens of an identifier's shape, and runs of numbers for phones and
 cards, that stand in patterns of high worth are found too, under the kind of
 their patterns. Tokens without a digit are never found, but count against the
 patterns they stand in.
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import written
 
 KINDS = ("email", "ip", "card", "phone")
+#: Seeds of this kind are no base spans.
+SECRET_KIND = "secret"
 
 #: Rounds of the bootstrapping.
 ROUNDS = 3
@@ -41,7 +44,9 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _NUMBER = r"[+(]?+[+(]?+[0-9][0-9().+-]*+"
 #: A run of numbers or else a token with a digit: what bootstrapping may find.
 TOKEN = rf"(?<![^\x20\x09-\x0D])(?:{_NUMBER}(?:\x20{_NUMBER})++(?![^\x20\x09-\x0D])|(?=[^\x20\x09-\x0D0-9]*+[0-9])[^\x20\x09-\x0D]++)"
-_PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "token": TOKEN}
+#: A key in hexadecimal digits, of 128 bits at least.
+SECRET = r"(?<![0-9A-Za-z])[0-9a-f]{32,}+(?![0-9A-Za-z])"
+_PATTERNS = {SECRET_KIND: SECRET, "email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "token": TOKEN}
 
 
 def _digits(text: Column) -> Column:
@@ -62,6 +67,8 @@ def _passes(kind: str, match: Column) -> Column:
         return F.length(digits).between(12, 19) & _luhn(digits)
     if kind == "phone":
         return F.length(_digits(match)).between(9, 15)
+    if kind == SECRET_KIND:
+        return match.rlike("[0-9]") & match.rlike("[a-f]")
     return F.lit(True)
 
 
@@ -73,15 +80,20 @@ def _worth_looking(kind: str, text: Column) -> Column:
         return F.contains(text, F.lit("+"))
     if kind == "ip":
         return text.rlike(r"[0-9]\.[0-9]")
+    if kind == SECRET_KIND:
+        return text.rlike("[0-9a-f]{32}")
     return text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}") if kind == "card" else text.rlike("[0-9]")
 
 
 #: What stands around matches while a text is taken apart; in a text itself it becomes the other.
 _MARK, _NO_MARK = "\x01", "\x02"
-#: Digits and code points of a token that can be found by its context.
-LEAST_DIGITS, MOST_CHARS = 4, 64
-#: Code points of context that are read on either side.
-CONTEXT = 64
+#: Digits of a token that can be found by its context.
+LEAST_DIGITS = 4
+_S, _W = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]"
+# What is read on either side of a match: the two words before it and the one after, whole, and what touches it.
+# Possessive, and begun at words only, so that runs of any length cost linear time.
+_LEFT, _RIGHT = rf"(?<!{_S})(?:{_S}++{_W}++){{0,2}}{_S}*+\z", rf"\A{_S}*+(?:{_W}++{_S}++)?+"
+_TOUCHES_LEFT, _TOUCHES_RIGHT = rf"(?<!{_S}){_S}++\z", rf"\A{_S}++"
 
 _DOC = ["doc_id", "text_hash"]
 
@@ -93,8 +105,8 @@ def _hit(kind: str):
             i.alias("i"),
             F.char_length(x["p"]).cast("long").alias("gap"),
             x["m"].alias("match"),
-            F.substring(x["p"], -CONTEXT, CONTEXT).alias("left"),
-            F.substring(x["q"], 1, CONTEXT).alias("right"),
+            F.regexp_extract(x["p"], _LEFT, 0).alias("left"),
+            F.regexp_extract(x["q"], _RIGHT, 0).alias("right"),
         )
 
     return hit
@@ -132,9 +144,9 @@ _WORD = r"[^\x20\x09-\x0D]+"
 
 def _contexts(tokens: DataFrame) -> DataFrame:
     """Each token with each of its lexical patterns: the word before, the two before, the words around."""
-    before = F.lower(F.regexp_extract("left", rf"({_WORD})[\x20\x09-\x0D]+$", 1))
-    two = F.lower(F.regexp_extract("left", rf"({_WORD}[\x20\x09-\x0D]+{_WORD})[\x20\x09-\x0D]+$", 1))
-    after = F.lower(F.regexp_extract("right", rf"^[\x20\x09-\x0D]+({_WORD})", 1))
+    before = F.lower(F.regexp_extract("left", rf"(?<!{_S})({_S}++){_W}++\z", 1))
+    two = F.lower(F.regexp_extract("left", rf"(?<!{_S})({_S}++{_W}++{_S}++){_W}++\z", 1))
+    after = F.lower(F.regexp_extract("right", rf"\A{_W}++({_S}++)", 1))
     named = F.array(
         F.when(before != "", F.concat(F.lit("1 "), before)),
         F.when(two != "", F.concat(F.lit("2 "), two)),
@@ -207,23 +219,33 @@ def _value(match: Column) -> Column:
     return F.lower(F.regexp_replace(match, r"^[^0-9A-Za-z+]+|[^0-9A-Za-z]+$", ""))
 
 
+def _apart(tokens: DataFrame, base: DataFrame) -> DataFrame:
+    """The tokens that overlap no base span; in the order of a document's own spans, each row looks at its neighbours."""
+    both = tokens.withColumn("mine", F.lit(True)).unionByName(base.select(*_DOC, "start", "end").withColumn("mine", F.lit(False)), allowMissingColumns=True)
+    order = Window.partitionBy(*_DOC).orderBy("start", "mine", "end")
+    reach = F.max(F.when(~F.col("mine"), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    ahead = F.min(F.when(~F.col("mine"), F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    near = both.withColumn("reach", F.coalesce(reach, F.lit(-1).cast("long"))).withColumn("ahead", ahead)
+    free = (F.col("reach") <= F.col("start")) & (F.col("ahead").isNull() | (F.col("ahead") >= F.col("end")))
+    return near.where(F.col("mine") & free).drop("mine", "reach", "ahead")
+
+
 def spans(documents: DataFrame) -> DataFrame:
     """doc_id, text_hash, kind, start, end (code points, end exclusive) and base of all spans.
 
-    Base spans are all there; a token that overlaps none of them is found if it
-    has digits enough, is not long and stands in a trusted pattern. A run of
-    numbers is found whole in patterns of phones and cards, in others its first.
+    Base spans are all there, and so are long hexadecimal keys; a token that
+    overlaps none of them is found if it has digits enough and stands in a
+    trusted pattern. A run of numbers is found whole in patterns of phones and
+    cards, in others its first.
     """
     spark = documents.sparkSession
     hits = written(spark, _hits(documents), "pii-hits")
-    base = hits.where("kind <> 'token'").select(*_DOC, "kind", "start", "end")
+    seeds = hits.where("kind <> 'token'")
     tokens = hits.where("kind = 'token'").select(*_DOC, "start", "end", "match", "left", "right").withColumn("value", _value(F.col("match")))
-    b = base.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.col("start").alias("s"), F.col("end").alias("e"))
-    over = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_hash").eqNullSafe(F.col("h")) & (F.col("s") < F.col("end")) & (F.col("start") < F.col("e"))
-    tokens = tokens.join(b, over, "left_anti")
-    # base matches are drawn out to white space; they stand for the tokens that they touch
-    more, rest = F.regexp_extract("left", rf"{_WORD}$", 0), F.regexp_extract("right", rf"^{_WORD}", 0)
-    whole = hits.where("kind <> 'token'").select(*_DOC, "start", "end", F.concat(more, "match", rest).alias("match"), F.regexp_replace("left", rf"{_WORD}$", "").alias("left"), F.regexp_replace("right", rf"^{_WORD}", "").alias("right"), F.col("kind").alias("known"))
+    tokens = _apart(tokens, seeds)
+    # seeds are drawn out to white space; they stand for the tokens that they touch
+    more, rest = F.regexp_extract("left", _TOUCHES_LEFT, 0), F.regexp_extract("right", _TOUCHES_RIGHT, 0)
+    whole = seeds.select(*_DOC, "start", "end", F.concat(more, "match", rest).alias("match"), F.regexp_replace("left", _TOUCHES_LEFT, "").alias("left"), F.regexp_replace("right", _TOUCHES_RIGHT, "").alias("right"), F.col("kind").alias("known"))
     whole = whole.withColumn("value", _value(F.col("match")))
     tokens = written(spark, tokens.withColumn("known", F.lit(None).cast("string")).unionByName(whole), "pii-tokens")
     trusted = trusted_patterns(tokens, documents=documents)
@@ -231,20 +253,21 @@ def spans(documents: DataFrame) -> DataFrame:
     unknown = _contexts(tokens.where(F.col("known").isNull())).join(few, "pattern")
     first = F.regexp_extract("match", rf"^{_WORD}", 0)
     unknown = unknown.withColumn("found", F.when(F.col("kind").isin("phone", "card"), F.col("match")).otherwise(first))
-    unknown = unknown.where((F.length(_value(F.col("found"))) <= MOST_CHARS) & (F.length(_digits(F.col("found"))) >= LEAST_DIGITS)).withColumn("end", F.col("start") + F.char_length("found"))
+    unknown = unknown.where(F.length(_digits(F.col("found"))) >= LEAST_DIGITS).withColumn("end", F.col("start") + F.char_length("found"))
     found = unknown.groupBy(*_DOC, "start").agg(F.max_by(F.struct("kind", "end"), F.struct("worth", "kind", "end")).alias("best")).select(*_DOC, "start", "best.*")
-    return base.withColumn("base", F.lit(True)).unionByName(found.select(*_DOC, "kind", "start", "end").withColumn("base", F.lit(False)))
+    certain = seeds.select(*_DOC, "kind", "start", "end", (F.col("kind") != SECRET_KIND).alias("base"))
+    return certain.unionByName(found.select(*_DOC, "kind", "start", "end").withColumn("base", F.lit(False)))
 
 
 def pii_report(documents: DataFrame) -> DataFrame:
     """One row per row of ``documents``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found.
 
-    The counts and the hash are of base spans; ``spans`` has all. A document is
+    The counts and the hash are of base spans; ``spans`` has all, ``n_found`` counts the others. A document is
     a (doc_id, text): rows alike in both give the same row each. Null and empty
     texts have no spans.
     """
     spark = documents.sparkSession
-    order = F.element_at(F.create_map(*[F.lit(x) for k, kind in enumerate(KINDS) for x in (kind, k)]), F.col("kind"))
+    order = F.element_at(F.create_map(*[F.lit(x) for k, kind in enumerate((*KINDS, SECRET_KIND)) for x in (kind, k)]), F.col("kind"))
     all_spans = written(spark, spans(documents), "pii-spans")
     lists = all_spans.groupBy(*_DOC).agg(F.sort_array(F.collect_set(F.struct("start", order.alias("k"), "end", "kind", "base"))).alias("all"))
     lists = lists.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "all")
