@@ -108,7 +108,7 @@ def _with_lines(documents: DataFrame, bitmaps: DataFrame, carried: list) -> Data
     """Each row with its lines and the array of positions dropped, null for none."""
     rows = documents.select(*carried, F.col("doc_id").alias("_doc"), _text_hash(F.col("text")).alias("_hash"), lines_of(F.col("text")).alias("_lines"))
     marks = bitmaps.select(F.col("doc_id").alias("_doc2"), F.col("text_hash").alias("_hash2"), "keep_words")
-    joined = rows.join(marks, F.col("_doc").eqNullSafe(F.col("_doc2")) & F.col("_hash").eqNullSafe(F.col("_hash2")), "left")
+    joined = rows.join(marks.hint("merge"), F.col("_doc").eqNullSafe(F.col("_doc2")) & F.col("_hash").eqNullSafe(F.col("_hash2")), "left")
     return joined.withColumn("_dropped", dropped_positions(F.col("keep_words")))
 
 
