@@ -1,3 +1,6 @@
+import random
+import re
+
 from tidewater.llm import licenses as L
 
 
@@ -136,3 +139,57 @@ def test_notices_as_files_have_them(spark):
     docs += [(len(docs) + k, t) for k, t in enumerate(clean)]
     got = {r["doc_id"]: r["families"] for r in L.license_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert [got[k] for k in range(len(docs))] == want + [""] * len(clean)
+
+
+PROSE = "The river was wide and the people of the town went to the market in the morning with the goods they had made. "
+PLACES = [
+    ("\n".join(MIT.replace("\n", " ").split()), "MIT"),
+    ("Licensed under the Apache\n" + "-" * 300 + "\nLicense, Version 2.0.", "Apache-2.0"),
+    ("Released under the MIT License. All rights reserved.", "MIT,Proprietary"),
+    (PROSE * 30 + "Released under the MIT License. " + PROSE * 30 + "Licensed under the Apache License, Version 2.0. " + PROSE * 30, "Apache-2.0,MIT"),
+    ("# This is free and unencumbered software released into the public\n# domain.", "Unlicense"),
+    (PROSE * 3 + GPL.replace("\n", "\n *\n * ") + PROSE * 3, "GPL-3.0"),
+    (PROSE * 60 + "\n" + PROSE * 60, ""),
+]
+
+
+def test_notices_at_every_place(spark):
+    docs = [(k, t) for k, (t, _) in enumerate(PLACES)]
+    rows = {r["doc_id"]: r for r in L.license_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [rows[k]["families"] for k, _ in docs] == [f for _, f in PLACES]
+    for k, t in docs:
+        got = L.brute_families(t)
+        assert (rows[k]["n_notices"], rows[k]["n_unknown"]) == (sum(g != "unknown" for g in got), got.count("unknown"))
+
+
+def test_runs_are_all_smallest(spark):
+    rng = random.Random(3)
+    texts = [L.TEMPLATES["GPL-3.0"][1], L.TEMPLATES["MIT"][1], L.TEMPLATES["Proprietary"][0]]
+    pieces = [" ".join(L.words(t)[k : k + 6]) for t in texts for k in range(0, 18, 3)]
+    docs = [(k, " ".join(rng.choice(pieces) for _ in range(12))) for k in range(6)]
+    want = set()
+    for d, t in docs:
+        ws = L.words(t)
+        for ps in (set(L._pairs(L.words(x))) for xs in L.TEMPLATES.values() for x in xs):
+            has = lambda a, b: len(ps.intersection(zip_words(ws[a:b])))  # noqa: B023, E731
+            for a in range(len(ws)):
+                for b in range(a + 2, len(ws) + 1):
+                    if (n := has(a, b)) >= L.SHARED * len(ps) and has(a + 1, b) < n and has(a, b - 1) < n:
+                        want.add((d, a, b))
+    found = L.blocks(spark.createDataFrame(docs, "doc_id long, text string"))
+    got = {(r["doc_id"], r["begin"], r["end"]) for r in L.runs(found, L._templates(spark)).collect()}
+    assert len(want) > 50 and got == want
+
+
+def zip_words(ws):
+    return [f"{a} {b}" for a, b in zip(ws, ws[1:], strict=False)]
+
+
+def test_stems_pass_no_notice_over():
+    stems, passed = re.compile(L._STEMS), []
+    for t in (t for ts in L.TEMPLATES.values() for t in ts):
+        pairs = L._pairs(L.words(t))
+        passed += [t] * (sum(not stems.search(p) for p in pairs) >= L.SHARED * len(pairs))
+    assert passed == ["released under the unlicense"]
+    for t in ("PUBLIC\n// Domain", "general  public", "cc-by"):
+        assert re.search(L._ANY, t) and re.search(L._STEMS, " ".join(L.words(t)))

@@ -1,14 +1,17 @@
 """Licence scans by a trained paragraph classifier (operator 7), DataFrame functions on the main path.
 
-A paragraph is a line, or up to ``LINES`` lines without a blank one between them
-joined, as notices are often wrapped; it is a bag of word n-grams. A multinomial logistic
+Two kinds of paragraphs are read, each a bag of word n-grams. One is a line. The
+other is a run of words between two blank lines, however many lines it goes
+over and wherever it begins, as notices are wrapped or stand amid prose: for each
+template and each number of its word pairs that is enough to confirm it, every
+smallest run that has as many. A multinomial logistic
 regression over sparse n-gram counts, trained here on notices made from the
 templates below and on paragraphs that say no licence, gives each family a
 probability; a temperature fitted on notices that training did not see
 calibrates it, and what stays under ``CERTAIN`` is unknown. A family is then
 confirmed only if the paragraph shares enough of its word pairs with one of the
-family's templates. Of joined lines only confirmed ones count; they give way to
-lines within them that say the same, and of those that overlap the one that
+family's templates. Of runs only confirmed ones count; paragraphs give way to
+shorter ones within them that say the same, and of those that overlap the one that
 shares most stays.
 
 Training needs no corpus: its size is that of the templates, whatever the table.
@@ -19,23 +22,24 @@ from __future__ import annotations
 import json
 import random
 import re
-from functools import cache
+from functools import cache, reduce
+from itertools import accumulate
+from operator import and_
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import ascii_lower, written
+from tidewater.llm.common import ASCII_LOWER, ASCII_UPPER, ascii_lower, written
 
 #: Words in an n-gram, at most.
 GRAMS = 3
 #: The calibrated probability under which a paragraph's family is unknown.
 CERTAIN = 0.6
-#: Lines that are read together, at most, and code points of the first (its end) and of the last
-#: (its start) that are then read; no notice of the templates is as long as that.
-LINES, REACH = 6, 200
 #: The share of a template's word pairs that a paragraph must have.
 SHARED = 0.6
+#: What tells the words between two blank lines from others.
+BLOCK = ["doc_id", "text_hash", "block"]
 #: Made notices of each template, and made paragraphs without a licence for each of these.
 VARIANTS, CLEAN = 24, 2
 SEED = 7
@@ -69,8 +73,14 @@ _NO_NOTICE = [
     "a copy of the letter was obtained", "the public domain of the river", "version 3 of the plan was approved", "licensed drivers may use the road", "the apache helicopter landed",
     "students of mit published the work", "the work is part of a series", "terms of the contract were read aloud", "the mozilla browser opened the page", "an eclipse was seen by the public",
 ]
-#: Only paragraphs with one of these are read: stems of notices, of which each template has one, and families' names.
+#: Only lines with one of these are read: stems of notices, of which each template has one, and families' names.
 _TRIGGERS = r"licen|copyright|permi|reserved|redistribut|public domain|proprietary|cc0|spdx|contributors may|creative commons|(?<![a-z])(?:[al]?gplv?|apache|mozilla|mpl|eclipse|epl|boost|bsd|isc|cc[ -]by)(?![a-z])"
+#: Only runs of words with one of these are read. That passes no notice over: of each template's pairs, those
+#: without any are fewer than ``SHARED`` asks for (one exception: "released under the" alone is no notice).
+_STEMS = _TRIGGERS + r"|modif|distribut|hereby|software|binary|endorse|promote|neither|contributors|extent|waived|obtaining|documentation|unauthorized|prohibited|unencumbered|(?<![a-z])(?:gnu|commons|cc)(?![a-z])|general public|related rights|made available|the mit(?![a-z0-9])|subject to|source code|code form|released into"
+#: The stems in a text as it is: any case, and whatever lies between two words.
+_ANY = "(?i)" + _STEMS.replace("[ -]", " ").replace(" ", "[^a-z0-9]+")
+_BLANK = r"\n[ \t-\r]*\n"
 CLEAN_CLASS = "none"
 
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
@@ -173,34 +183,75 @@ def _joined(n: int):
     return lambda x: F.concat_ws(" ", *[x[f"w{k}"] for k in range(n)])
 
 
-def _line(n: int) -> Column:
-    """The first n lines of ``now`` joined."""
-    if n == 1:
-        return F.get("now", F.lit(0))
-    ends = F.substring(F.get("now", F.lit(0)), -REACH, REACH), F.substring(F.get("now", F.lit(n - 1)), 1, REACH)
-    return F.concat_ws(" ", ends[0], *([F.slice("now", 2, n - 2)] if n > 2 else []), ends[1])
+def _same(a: str, b: str, cols: list[str]) -> Column:
+    return reduce(and_, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols])
 
 
-def paragraphs(documents: DataFrame) -> DataFrame:
-    """doc_id, text_hash, pos, size (in lines) and words of the paragraphs that may be notices."""
-    lines = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").where(F.regexp_replace(F.lower("text"), r"\s+", " ").rlike(_TRIGGERS))
-    lines = lines.select("doc_id", "text_hash", F.split(ascii_lower(F.col("text")), "\n", -1).alias("lines"))
-    # what follows a line, up to the next blank one
-    after = F.transform("lines", lambda line, i: F.struct(i.alias("pos"), F.array(line, *[F.get("lines", i + k) for k in range(1, LINES)]).alias("now")))
-    lines = lines.select("doc_id", "text_hash", F.explode(after).alias("x")).select("doc_id", "text_hash", "x.*")
-    lines = lines.where(F.concat_ws(" ", "now").rlike(_TRIGGERS))
-    parts = [F.when(F.lit(n == 1) | F.forall(F.slice("now", 1, n), lambda x: F.coalesce(x.rlike("[^\\s]"), F.lit(False))) & F.forall(F.slice("now", 2, max(0, n - 2)), lambda x: F.length(x) <= REACH), F.struct(F.lit(n).alias("size"), _line(n).alias("line"))) for n in range(1, LINES + 1)]
-    lines = lines.select("doc_id", "text_hash", "pos", F.explode(F.array(*parts)).alias("y")).where("y is not null").select("doc_id", "text_hash", "pos", "y.*")
-    return lines.where(F.col("line").rlike(_TRIGGERS)).select("doc_id", "text_hash", "pos", "size", F.regexp_extract_all("line", F.lit(_JAVA_WORD), F.lit(0)).alias("words")).distinct()
+def _needed(pairs: int) -> int:
+    """The least number of a template's pairs that confirms it."""
+    return next(n for n in range(pairs + 1) if n >= SHARED * pairs)
+
+
+def _templates(spark) -> DataFrame:
+    """family, t, of, needed, k, pair: the word pairs of the templates."""
+    listed = [(f, _pairs(words(x))) for f, ts in TEMPLATES.items() for x in ts]
+    rows = [{"family": f, "t": t, "of": len(ps), "needed": _needed(len(ps)), "k": k, "pair": p} for t, (f, ps) in enumerate(listed) for k, p in enumerate(ps)]
+    return _fixed_table(spark, rows, "family:string,t:int,of:int,needed:int,k:int,pair:string")
+
+
+def blocks(documents: DataFrame) -> DataFrame:
+    """doc_id, text_hash, block, words, begins: what lies between blank lines and has a stem, and where its lines with words begin."""
+    read = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").where(F.col("text").rlike(_ANY))
+    read = read.select("doc_id", "text_hash", F.posexplode(F.split("text", _BLANK, -1)).alias("block", "part")).where(F.col("part").rlike(_ANY)).distinct()
+    lines = F.transform(F.split(ascii_lower(F.col("part")), "\n", -1), lambda x: F.regexp_extract_all(x, F.lit(_JAVA_WORD), F.lit(0)))
+    placed = F.flatten(F.transform(lines, lambda x: F.transform(x, lambda w, k: F.struct(w.alias("w"), (k == 0).alias("first")))))
+    placed = read.select(*BLOCK, placed.alias("x"))
+    begins = F.filter(F.transform("x", lambda x, k: F.when(x["first"], k)), lambda k: k.isNotNull())
+    return placed.select(*BLOCK, F.col("x.w").alias("words"), begins.alias("begins"))
+
+
+def runs(found: DataFrame, templates: DataFrame) -> DataFrame:
+    """doc_id, text_hash, block, begin, end (exclusive): for each template and each number of its pairs that
+    confirms it, all smallest runs of words with as many.
+
+    The place at which each pair was met last gives, at every pair met, the latest begin for each number. No place
+    lies in more runs of a template and a number than it has pairs, so their length as a whole grows as the text does.
+    """
+    after = F.slice("words", F.lit(2), F.greatest(F.size("words"), F.lit(1)))
+    each = found.select(*BLOCK, F.posexplode(F.zip_with("words", after, lambda a, b: F.concat_ws(" ", a, b))).alias("at", "pair"))
+    most = max(len(_pairs(words(t))) for ts in TEMPLATES.values() for t in ts)
+    so_far = Window.partitionBy(*BLOCK, "t").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = F.array(*[F.max(F.when(F.col("k") == k, F.col("at"))).over(so_far) for k in range(most)])
+    met = each.join(F.broadcast(templates), "pair").select(*BLOCK, "t", "needed", "at", met.alias("met"))
+    met = met.select(*BLOCK, "t", "needed", "at", F.sort_array(F.filter("met", lambda x: x.isNotNull()), asc=False).alias("met")).where(F.size("met") >= F.col("needed"))
+    level = met.select(*BLOCK, "t", "at", F.posexplode(F.slice("met", F.col("needed"), F.size("met"))).alias("level", "begin"))
+    least = level.groupBy(*BLOCK, "t", "level", "begin").agg(F.min("at").alias("at"))
+    return least.select(*BLOCK, "begin", (F.col("at") + 2).alias("end")).distinct()
+
+
+def paragraphs(documents: DataFrame, templates: DataFrame) -> DataFrame:
+    """doc_id, text_hash, block, begin, end, line and words of all paragraphs that may be notices."""
+    found = written(documents.sparkSession, blocks(documents), "license-blocks")
+    said = lambda a, b: F.array_join(F.slice("words", a + 1, b - a), " ")
+    ends = F.concat(F.slice("begins", F.lit(2), F.greatest(F.size("begins"), F.lit(1))), F.array(F.size("words")))
+    spans = F.zip_with("begins", ends, lambda a, b: F.struct(a.alias("begin"), b.alias("end")))
+    lines = found.where(F.size("begins") > 0).select(*BLOCK, F.explode(F.filter(spans, lambda x: said(x["begin"], x["end"]).rlike(_TRIGGERS))).alias("x"))
+    both = lines.select(*BLOCK, "x.*", F.lit(True).alias("line")).unionByName(runs(found, templates).withColumn("line", F.lit(False)))
+    both = both.groupBy(*BLOCK, "begin", "end").agg(F.max("line").alias("line"))
+    both = both.groupBy(*BLOCK).agg(F.collect_list(F.struct("begin", "end", "line")).alias("spans"))
+    cut = F.transform("spans", lambda x: F.struct(x["begin"].alias("begin"), x["end"].alias("end"), x["line"].alias("line"), F.slice("words", x["begin"] + 1, x["end"] - x["begin"]).alias("words")))
+    cut = found.alias("u").join(both.alias("v"), _same("u", "v", BLOCK)).select(*[F.col(f"u.{c}") for c in BLOCK], F.explode(cut).alias("x")).select(*BLOCK, "x.*")
+    return cut.where(F.array_join("words", " ").rlike(_STEMS))
 
 
 def notices(documents: DataFrame) -> DataFrame:
-    """doc_id, text_hash, pos, size, family, probability, shared: the best class of each paragraph read,
+    """doc_id, text_hash, block, begin, end, line, family, probability, shared: the best class of each paragraph read,
     ``unknown`` where it is uncertain or no template confirms it, left out where it is none."""
     spark = documents.sparkSession
     model = train()
-    key = ["doc_id", "text_hash", "pos", "size"]
-    found = written(spark, paragraphs(documents), "license-paragraphs")
+    key = [*BLOCK, "begin", "end", "line"]
+    templates = _templates(spark)
+    found = written(spark, paragraphs(documents, templates), "license-paragraphs")
     # of fixed size: the n-grams of the templates and what was made of them
     weights = F.broadcast(_fixed_table(spark, [{"gram": g, "w": w} for g, w in model["weights"].items()], "gram:string,w:array<double>"))
     each = found.select(*key, F.explode(_grams(F.col("words"), 1, GRAMS)).alias("gram")).join(weights, "gram")
@@ -212,38 +263,29 @@ def notices(documents: DataFrame) -> DataFrame:
     family = F.element_at(F.array(*[F.lit(c) for c in model["classes"]]), F.array_position(F.array(*z), top).cast("int"))
     best = scores.select(*key, family.alias("family"), (1 / total).alias("probability")).where(F.col("family") != CLEAN_CLASS)
     # the share of each template's word pairs that the paragraph has
-    pairs = [{"family": f, "t": k, "of": len(p), "pair": x} for f, ts in TEMPLATES.items() for k, t in enumerate(ts) for p in [_pairs(words(t))] for x in p]
-    pairs = F.broadcast(_fixed_table(spark, pairs, "family:string,t:int,of:int,pair:string"))
-    own = found.select(*key, F.explode(_grams(F.col("words"), 2, 2)).alias("pair")).join(pairs, "pair")
+    own = found.select(*key, F.explode(_grams(F.col("words"), 2, 2)).alias("pair")).join(F.broadcast(templates), "pair")
     shared = own.groupBy(*key, "family", "t", "of").agg(F.count("*").alias("n")).groupBy(*key, "family").agg(F.max(F.col("n") / F.col("of")).alias("shared"))
-    same = [F.col(f"b.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*key, "family")]
-    both = best.alias("b").join(shared.alias("s"), same[0] & same[1] & same[2] & same[3] & same[4], "left")
+    both = best.alias("b").join(shared.alias("s"), _same("b", "s", [*key, "family"]), "left")
     sure = (F.col("probability") >= CERTAIN) & (F.coalesce("shared", F.lit(0.0)) >= SHARED)
     units = both.select(*[F.col(f"b.{c}") for c in key], F.when(sure, F.col("b.family")).otherwise("unknown").alias("family"), "probability", F.coalesce("shared", F.lit(0.0)).alias("shared"))
-    return _best(written(spark, units.where("size = 1 or family <> 'unknown'"), "license-units"))
+    return _best(written(spark, units.where("line or family <> 'unknown'"), "license-units"))
 
 
 def _best(units: DataFrame) -> DataFrame:
-    """The units that stay; each meets only what begins within it or shares a line with it."""
-    doc = ["doc_id", "text_hash"]
-    lines = F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("size") - 1)).alias("at")
-    same = lambda a, b, cols: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]
-    key = [*doc, "pos", "size"]
-    # joined lines that say no more than lines within them go
-    u, v = units.where("size > 1").select("*", lines).alias("u"), units.alias("v")
-    on = same("u", "v", [*doc, "family"])
-    inside = (F.col("u.at") == F.col("v.pos")) & F.expr("v.pos + v.size <= u.pos + u.size and v.size < u.size and v.shared >= u.shared")
-    idle = u.join(v, on[0] & on[1] & on[2] & inside).select(*[F.col(f"u.{c}") for c in key]).distinct()
-    on = same("u", "v", key)
-    left = written(units.sparkSession, units.alias("u").join(idle.alias("v"), on[0] & on[1] & on[2] & on[3], "left_anti"), "license-least")
-    # a unit stays where it is the best on each of its lines
-    rank = F.struct((F.col("family") != "unknown").alias("known"), "shared", (-F.col("size")).alias("short"), (-F.col("pos")).alias("early"))
-    ranked = left.select("*", rank.alias("rank"), lines)
-    best = ranked.groupBy(*doc, "at").agg(F.max("rank").alias("best"))
-    on = same("u", "v", [*doc, "at"])
-    lost = ranked.alias("u").join(best.alias("v"), on[0] & on[1] & on[2]).where("u.rank <> v.best").select(*[F.col(f"u.{c}") for c in key]).distinct()
-    on = same("u", "v", key)
-    return left.alias("u").join(lost.alias("v"), on[0] & on[1] & on[2] & on[3], "left_anti")
+    """The units that stay; each meets only what begins within it or shares a word with it."""
+    at = F.explode(F.sequence(F.col("begin"), F.col("end") - 1)).alias("at")
+    key = [*BLOCK, "begin", "end"]
+    # units that say no more than shorter ones within them go
+    u, v = units.where("family <> 'unknown'").select("*", at).alias("u"), units.alias("v")
+    inside = (F.col("u.at") == F.col("v.begin")) & F.expr("v.end <= u.end and v.end - v.begin < u.end - u.begin and v.shared >= u.shared")
+    idle = u.join(v, _same("u", "v", [*BLOCK, "family"]) & inside).select(*[F.col(f"u.{c}") for c in key]).distinct()
+    left = written(units.sparkSession, units.alias("u").join(idle.alias("v"), _same("u", "v", key), "left_anti"), "license-least")
+    # a unit stays where it is the best on each of its words
+    rank = F.struct((F.col("family") != "unknown").alias("known"), "shared", (F.col("begin") - F.col("end")).alias("short"), (-F.col("begin")).alias("early"))
+    ranked = left.select("*", rank.alias("rank"), at)
+    best = ranked.groupBy(*BLOCK, "at").agg(F.max("rank").alias("best"))
+    lost = ranked.alias("u").join(best.alias("v"), _same("u", "v", [*BLOCK, "at"])).where("u.rank <> v.best").select(*[F.col(f"u.{c}") for c in key]).distinct()
+    return left.alias("u").join(lost.alias("v"), _same("u", "v", key), "left_anti")
 
 
 def _pairs(ws: list[str]) -> list[str]:
@@ -268,32 +310,49 @@ def license_report(documents: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.coalesce("families", F.lit("")).alias("families"), F.coalesce("n_notices", zero).alias("n_notices"), F.coalesce("n_unknown", zero).alias("n_unknown"))
 
 
+def _brute_windows(ws: list[str], template: list[str]) -> set[tuple[int, int]]:
+    """The smallest windows with each number of a template's word pairs that confirms it."""
+    wanted, out = set(_pairs(template)), set()
+    has = [(k, p) for k, p in enumerate(f"{a} {b}" for a, b in zip(ws, ws[1:], strict=False)) if p in wanted]
+    for n, (start, first) in enumerate(has):
+        seen = set()
+        for end, pair in has[n:]:
+            if end > start and pair == first:
+                break
+            if pair not in seen:
+                seen.add(pair)
+                if len(seen) >= SHARED * len(wanted):
+                    out.add((start, end + 2))
+    return out
+
+
 def brute_families(text: str | None) -> list[str]:
     """The families of a text, a paragraph at a time in Python; for tests."""
-    model, units = train(), []
-    trigger = re.compile(_TRIGGERS)
-    lines = (text or "").split("\n")
-    for pos in range(len(lines)):
-        for size in range(1, LINES + 1):
-            part = lines[pos : pos + size]
-            if size > 1 and (len(part) < size or not all(x.strip() for x in part)):
-                break
-            if any(len(x) > REACH for x in part[1:-1]):
-                break
-            line = part[0] if size == 1 else " ".join([part[0][-REACH:], *part[1:-1], part[-1][:REACH]])
-            ws = words(line)
-            if not trigger.search(line.lower()) or not any(g in model["weights"] for g in grams(ws)):
+    model, out = train(), []
+    for block in re.split(_BLANK, (text or "").translate(str.maketrans(ASCII_UPPER, ASCII_LOWER))):
+        lines = [_WORD.findall(x) for x in block.split("\n")]
+        ws = [w for x in lines for w in x]
+        ends = list(accumulate(map(len, lines)))
+        spans = {(e - len(x), e): True for e, x in zip(ends, lines, strict=True) if re.search(_TRIGGERS, " ".join(x))}
+        for t in (words(t) for ts in TEMPLATES.values() for t in ts):
+            for a, b in _brute_windows(ws, t):
+                if re.search(_STEMS, " ".join(ws[a:b])):
+                    spans.setdefault((a, b), False)
+        units = []
+        for (a, b), line in spans.items():
+            found = [g for g in grams(ws[a:b]) if g in model["weights"]]
+            if not found:
                 continue
-            z = np.array(model["bias"]) + sum((np.array(model["weights"][g]) for g in grams(ws) if g in model["weights"]), np.zeros(len(model["classes"])))
-            p = _softmax(z[None])[0]
+            p = _softmax((np.array(model["bias"]) + sum(np.array(model["weights"][g]) for g in found))[None])[0]
             family = model["classes"][int(p.argmax())]
             if family == CLEAN_CLASS:
                 continue
-            share = max(len(set(_pairs(ws)) & set(_pairs(words(t)))) / len(_pairs(words(t))) for t in TEMPLATES[family])
-            if p.max() < CERTAIN or share < SHARED:
-                family = "unknown"
-            if size == 1 or family != "unknown":
-                units.append((family, share, pos, size))
-    left = [u for u in units if not any(v[0] == u[0] and v[3] < u[3] and v[1] >= u[1] and u[2] <= v[2] and v[2] + v[3] <= u[2] + u[3] for v in units)]
-    rank = lambda u: (u[0] != "unknown", u[1], -u[3], -u[2])
-    return [u[0] for u in left if not any(rank(v) > rank(u) and v[2] < u[2] + u[3] and u[2] < v[2] + v[3] for v in left)]
+            share = max(len(set(_pairs(ws[a:b])) & set(_pairs(words(t)))) / len(_pairs(words(t))) for t in TEMPLATES[family])
+            if p.max() >= CERTAIN and share >= SHARED:
+                units.append((family, share, a, b))
+            elif line:
+                units.append(("unknown", share, a, b))
+        left = [u for u in units if not any(v[0] == u[0] and v[3] - v[2] < u[3] - u[2] and v[1] >= u[1] and u[2] <= v[2] and v[3] <= u[3] for v in units)]
+        rank = lambda u: (u[0] != "unknown", u[1], u[2] - u[3], -u[2])
+        out += [u[0] for u in left if not any(rank(v) > rank(u) and v[2] < u[3] and u[2] < v[3] for v in left)]
+    return out
