@@ -1,6 +1,8 @@
 import random
 import re
 
+import pyarrow as pa
+
 from tidewater.llm import licenses as L
 
 
@@ -193,3 +195,24 @@ def test_stems_pass_no_notice_over():
     assert passed == ["released under the unlicense"]
     for t in ("PUBLIC\n// Domain", "general  public", "cc-by"):
         assert re.search(L._ANY, t) and re.search(L._STEMS, " ".join(L.words(t)))
+
+
+def plans_kept(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return {x.executionId(): len(x.physicalPlanDescription()) for x in (found.apply(k) for k in range(found.size()))}
+
+
+def test_plans_do_not_hold_the_model(spark):
+    # the driver keeps the text of plans that have run, so each query would hold the model for good
+    before = max(plans_kept(spark), default=-1)
+    L.license_report(spark.createDataFrame(DOCS, "doc_id long, text string")).collect()
+    new = [n for k, n in plans_kept(spark).items() if k > before]
+    assert len(new) > 5 and max(new) < 200_000
+
+
+def test_fixed_table_is_exact(spark):
+    weights = L.train()["weights"]
+    read = L._fixed_table(spark, [{"gram": g, "w": w} for g, w in weights.items()], {"gram": pa.string(), "w": pa.list_(pa.float64())})
+    assert read.dtypes == [("gram", "string"), ("w", "array<double>")]
+    assert {r["gram"]: r["w"] for r in read.collect()} == weights

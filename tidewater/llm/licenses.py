@@ -19,7 +19,6 @@ Training needs no corpus: its size is that of the templates, whatever the table.
 
 from __future__ import annotations
 
-import json
 import random
 import re
 from functools import cache, reduce
@@ -27,6 +26,7 @@ from itertools import accumulate
 from operator import and_
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,13 +156,13 @@ def train() -> dict:
     return {"classes": classes, "bias": (b / heat).tolist(), "weights": {names[k]: (w[k] / heat).tolist() for k in keep}, "heat": heat}
 
 
-def _fixed_table(spark, rows: list[dict], schema: str) -> DataFrame:
-    """A small fixed table from a JSON literal, so that no row passes through Python on the executors.
+def _fixed_table(spark, rows: list[dict], schema: dict[str, pa.DataType]) -> DataFrame:
+    """A small fixed table from rows of the driver, so that no row passes through Python on the executors.
 
-    It is written once, so that the literal isn't part of every plan that reads it.
+    The rows must not be a literal: the driver keeps the text of each plan that has run, and it would hold them twice.
+    It is written once, so that they aren't sent with the tasks of every plan that reads it.
     """
-    made = spark.range(1, numPartitions=1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")).alias("r")).select("r.*")
-    return written(spark, made, "license-model")
+    return written(spark, spark.createDataFrame(pa.Table.from_pylist(rows, pa.schema(schema))).coalesce(1), "license-model")
 
 
 def _grams(ws: Column, least: int, most: int) -> Column:
@@ -196,7 +196,7 @@ def _templates(spark) -> DataFrame:
     """family, t, of, needed, k, pair: the word pairs of the templates."""
     listed = [(f, _pairs(words(x))) for f, ts in TEMPLATES.items() for x in ts]
     rows = [{"family": f, "t": t, "of": len(ps), "needed": _needed(len(ps)), "k": k, "pair": p} for t, (f, ps) in enumerate(listed) for k, p in enumerate(ps)]
-    return _fixed_table(spark, rows, "family:string,t:int,of:int,needed:int,k:int,pair:string")
+    return _fixed_table(spark, rows, {"family": pa.string(), "t": pa.int32(), "of": pa.int32(), "needed": pa.int32(), "k": pa.int32(), "pair": pa.string()})
 
 
 def blocks(documents: DataFrame) -> DataFrame:
@@ -253,7 +253,7 @@ def notices(documents: DataFrame) -> DataFrame:
     templates = _templates(spark)
     found = written(spark, paragraphs(documents, templates), "license-paragraphs")
     # of fixed size: the n-grams of the templates and what was made of them
-    weights = F.broadcast(_fixed_table(spark, [{"gram": g, "w": w} for g, w in model["weights"].items()], "gram:string,w:array<double>"))
+    weights = F.broadcast(_fixed_table(spark, [{"gram": g, "w": w} for g, w in model["weights"].items()], {"gram": pa.string(), "w": pa.list_(pa.float64())}))
     each = found.select(*key, F.explode(_grams(F.col("words"), 1, GRAMS)).alias("gram")).join(weights, "gram")
     sums = [F.sum(F.get("w", F.lit(k))).alias(f"z{k}") for k in range(len(model["classes"]))]
     scores = each.groupBy(*key).agg(*sums)
