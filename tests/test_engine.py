@@ -360,6 +360,18 @@ def test_division_by_types(s):
     assert (got["a"], got["b"], got["c"], float(got["d"]), got["e"], got["f"]) == (6, 1, 1, 7.5, 3.5, "1/2")
 
 
+def test_casts_of_fractions_round(s):
+    rows = "(VALUES (0.5D), (1.5D), (6999.6D), (-2.5D)) AS v(x)"
+    got = s.collect(f"SELECT CAST(x AS BIGINT) AS a, x::int AS b, TRY_CAST(x * 1e12 AS INT) AS c, CAST(CAST(x AS DECIMAL(6,1)) AS SMALLINT) AS d, CAST(x AS BIGINT) / 1000 AS e, bigint(x) AS f FROM {rows}").to_pylist()
+    assert [tuple(r.values()) for r in got] == [(0, 0, None, 1, 0, 0), (2, 2, None, 2, 0, 1), (7000, 7000, None, 7000, 7, 6999), (-2, -2, None, -3, 0, -2)]
+    assert s.collect("SELECT CAST(9007199254740993 AS BIGINT) AS a, CAST('7' AS INT) AS b, to_timestamp(1.7) = to_timestamp(1) AS c").to_pylist() == [{"a": 9007199254740993, "b": 7, "c": True}]
+    # the analyser reads the ORDER BY as the column
+    got = s.collect(f"SELECT CAST(x AS INT) AS k, count(*) AS n FROM {rows} GROUP BY CAST(x AS INT) HAVING CAST(x AS INT) > -2 ORDER BY cast(x AS INT) DESC").to_pylist()
+    assert [tuple(r.values()) for r in got] == [(7000, 1), (2, 1), (0, 1)]
+    got = s.collect("SELECT a / 2 AS q, d * a / 2 AS f, (d)::int AS g, abs(d)::int AS h, d::int AS i FROM (VALUES (3, -0.7D)) AS v(a, d) ORDER BY d::int").to_pylist()[0]
+    assert tuple(got.values()) == (1, -1.0499999999999998, -1, 1, -1)
+
+
 def test_costly_arguments_are_read_once(s):
     from tidewater.plans.dialect import to_spark
 

@@ -34,12 +34,12 @@ RENAMED = {
 _MICROS = "CAST(extract(DAY FROM {0}) * 86400000000L + extract(HOUR FROM {0}) * 3600000000L + extract(MINUTE FROM {0}) * 60000000L + extract(SECOND FROM {0}) * 1000000 AS BIGINT)"
 _WIDTH = _MICROS.format("CAST({0} AS INTERVAL DAY TO SECOND)")
 _FROM, _TO = "if({1} < 0, size({0}) + {1} + 1, greatest({1}, 1))", "if({2} < 0, size({0}) + {2} + 1, least({2}, size({0})))"
-_GCD = "abs(aggregate(sequence(1, 93), named_struct('x', CAST({0} AS BIGINT), 'y', CAST({1} AS BIGINT)), (__s, __i) -> named_struct('x', if(__s.y = 0, __s.x, __s.y), 'y', if(__s.y = 0, 0L, __s.x % __s.y))).x)"
+_GCD = "abs(aggregate(sequence(1, 93), named_struct('x', bigint({0}), 'y', bigint({1})), (__s, __i) -> named_struct('x', if(__s.y = 0, __s.x, __s.y), 'y', if(__s.y = 0, 0L, __s.x % __s.y))).x)"
 
 
 def _stamp(unit: str) -> str:
     """A text is read as a timestamp, a number counts units since 1970."""
-    return f"CAST(CASE WHEN typeof({{0}}) = 'string' THEN CAST(CAST({{0}} AS STRING) AS TIMESTAMP_NTZ) ELSE CAST(timestamp_micros(CAST({{0}} AS BIGINT) {unit}) AS TIMESTAMP_NTZ) END AS TIMESTAMP_NTZ)"
+    return f"CAST(CASE WHEN typeof({{0}}) = 'string' THEN CAST(CAST({{0}} AS STRING) AS TIMESTAMP_NTZ) ELSE CAST(timestamp_micros(bigint({{0}}) {unit}) AS TIMESTAMP_NTZ) END AS TIMESTAMP_NTZ)"
 
 
 #: Calls written out: name -> {number of arguments: expression over {0}, {1}, ...}.
@@ -57,7 +57,7 @@ FORMS: dict[str, dict[int, str]] = {
         2: "CASE WHEN {0} < 0 THEN ceil({0} * power(10, {1})) / power(10, {1}) ELSE floor({0} * power(10, {1})) / power(10, {1}) END",
     },
     "gcd": {2: _GCD},
-    "lcm": {2: f"if({{0}} = 0 OR {{1}} = 0, 0L, abs(CAST({{0}} AS BIGINT) div {_GCD} * {{1}}))"},
+    "lcm": {2: f"if({{0}} = 0 OR {{1}} = 0, 0L, abs(bigint({{0}}) div {_GCD} * {{1}}))"},
     "iszero": {1: "({0} = 0)"},
     # times
     "from_unixtime": {1: "CAST(timestamp_seconds({0}) AS TIMESTAMP_NTZ)"},
