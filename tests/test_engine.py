@@ -3,6 +3,7 @@ import json
 import math
 import struct
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -372,6 +373,41 @@ def test_casts_of_fractions_round(s):
     assert tuple(got.values()) == (1, -1.0499999999999998, -1, 1, -1)
 
 
+# put together from peers; RANGE frames and those over ranks
+NEAR = [("CURRENT ROW", "1 FOLLOWING"), ("1 PRECEDING", "CURRENT ROW"), ("1 PRECEDING", "2 FOLLOWING"), ("4 PRECEDING", "0 FOLLOWING")]
+FAR = [("UNBOUNDED PRECEDING", "CURRENT ROW"), ("CURRENT ROW", "UNBOUNDED FOLLOWING"), ("0 PRECEDING", "CURRENT ROW"), ("UNBOUNDED PRECEDING", "2 FOLLOWING"), ("3 PRECEDING", "1 PRECEDING"), ("1 FOLLOWING", "2 FOLLOWING"), ("2 PRECEDING", "4 FOLLOWING")]
+
+
+def test_groups_frames_equal_duckdb(s):
+    rng, n = np.random.default_rng(7), 300
+    maybe = lambda values: [None if x < 0.15 else v for x, v in zip(rng.random(n), values.tolist(), strict=True)]
+    t = pa.table({"id": range(n), "p": maybe(rng.integers(0, 4, n)), "k": maybe(rng.integers(0, 30, n)), "d": maybe(rng.integers(0, 3, n) / 2), "x": maybe(rng.integers(-50, 50, n))})
+    s.register_arrow("peers", t)
+    con = duckdb.connect()
+    con.register("peers", t)
+    # k = 3 has nulls only
+    calls = ["sum(x)", "count(*)", "count(v.x)", "min(d)", "max(x)", "sum(CASE WHEN k <> 3 THEN d END)"]
+    first, *windows = ["PARTITION BY p ORDER BY k NULLS LAST", "PARTITION BY v.p ORDER BY k DESC NULLS FIRST, d NULLS LAST", "ORDER BY d NULLS FIRST", "PARTITION BY p ORDER BY k % 7 NULLS LAST"]
+    tried = [(calls, first, NEAR), (["sum(x)"], first, FAR), (["avg(x)"], first, NEAR), (["sum(CAST(x AS DECIMAL(12,2)))"], first, NEAR), *((["sum(x)", "count(v.x)"], w, NEAR[1:3] + FAR[:3]) for w in windows if "%" not in w), (["sum(x)"], windows[-1], NEAR)]
+    for some, w, frames in tried:
+        fields = [f"{call} OVER ({w} GROUPS BETWEEN {a} AND {b})" for call in some for a, b in frames]
+        text = f"SELECT id, {', '.join(f'{f} AS f{k}' for k, f in enumerate(fields))}, row_number() OVER (ORDER BY id) AS r FROM peers AS v WHERE id <> 5"
+        ours, theirs = ([tuple(r) for r in q] for q in (s.sql(text).collect(), con.execute(text).fetchall()))
+        assert sorted(ours, key=lambda r: r[0]) == sorted(theirs, key=lambda r: r[0]), text
+
+
+def test_groups_frame_sorts_once(s):
+    s.register_parquet("lineitem", f"{DATA}/lineitem.parquet")
+    call = "OVER (PARTITION BY l_suppkey ORDER BY l_linenumber GROUPS BETWEEN {} PRECEDING AND 1 FOLLOWING) AS s FROM lineitem"
+    sorts = lambda text: s.sql(f"SELECT l_orderkey, {text}")._jdf.queryExecution().executedPlan().toString().count("- Sort [")
+    assert sorts("sum(l_quantity) " + call.format(1)) == sorts("count(*) " + call.format(2)) == 1
+    assert sorts("sum(l_quantity) " + call.format(50)) == 2
+    assert s.sql("SELECT *, sum(l_tax) " + call.format(1)).columns == [*s.table("lineitem").df.columns, "s"]
+    # a decimal's sum of sums would be wider
+    kind = s.sql("SELECT sum(CAST(l_tax AS DECIMAL(9,2))) " + call.format(1)).schema[0].dataType.simpleString()
+    assert kind == "decimal(19,2)"
+
+
 def test_costly_arguments_are_read_once(s):
     from tidewater.plans.dialect import to_spark
 
